@@ -44,33 +44,44 @@ class _Powers:
         if len(cls.up) < n:
             n = max(n, PIECE)
             inverse = pow(BASE, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.concatenate(([1], np.full(n - 1, BASE, dtype=U))).astype(U), dtype=U)
-                cls.down = np.cumprod(np.concatenate(([1], np.full(n - 1, inverse, dtype=U))).astype(U), dtype=U)
+            cls.up, cls.down = np.full(n, BASE, dtype=U), np.full(n, inverse, dtype=U)
+            cls.up[0] = cls.down[0] = 1
+            np.cumprod(cls.up, out=cls.up)
+            np.cumprod(cls.down, out=cls.down)
         return cls.up[:n], cls.down[:n]
 
 
-def _segment(b: np.ndarray, breaks: np.ndarray, starts_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words in a run of bytes. starts_doc: positions where a text begins."""
+def _segment(b: np.ndarray, breaks: np.ndarray, starts_doc: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hashes) of the words in a run of bytes. starts_doc: positions where a text begins."""
     word = ~breaks[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
     first[starts_doc] = word[starts_doc]
     starts = np.flatnonzero(first)
+    out = np.empty((len(starts), 1 + len(prefixes)), dtype=U)
     if not len(starts):
-        return starts, np.empty(0, dtype=U)
+        return starts, out
     up, down = _Powers.to(len(b))
     value = (b.astype(U) + U(1)) * word
     value *= up[: len(b)]
-    return starts, mix64(np.add.reduceat(value, starts) * down[starts])
+    out[:, 0] = np.add.reduceat(value, starts) * down[starts]
+    if prefixes:
+        length = np.add.reduceat(word, starts, dtype=np.int64)
+        sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(value, dtype=U)))
+        for i, k in enumerate(prefixes):
+            out[:, 1 + i] = (sums[starts + np.minimum(length, k)] - sums[starts]) * down[starts]
+    return starts, mix64(out)
 
 
-def words(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, A-Z in lower case, of all texts in order; and how many each text has. A null text has none."""
+def words(texts: pa.Array, breaks: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, A-Z in lower case, of all texts in order; and how many each text has. A null text has none.
+
+    With `prefixes`, a word has a row: its hash, and those of its first so many bytes.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or offsets[-1] == offsets[0]:
-        return np.empty(0, dtype=U), np.zeros(len(texts), dtype=np.int64)
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, dtype=U), np.zeros(len(texts), dtype=np.int64)
     data = LOWER[np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
     begins = np.unique(offsets[:-1][np.diff(offsets) > 0])
@@ -84,11 +95,12 @@ def words(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.n
                 break
             end = min(end + PIECE, len(data))
         mine = begins[np.searchsorted(begins, at) : np.searchsorted(begins, end)] - at
-        s, h = _segment(data[at:end], breaks, mine)
+        s, h = _segment(data[at:end], breaks, mine, prefixes)
         starts.append(s + at)
         hashes.append(h)
         at = end
-    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
+    found = np.concatenate(hashes)
+    return found if prefixes else found[:, 0], np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
 def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -115,10 +127,10 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> list[np.
         if c >= width:
             out.append(np.unique(every[at : at + c - width + 1]))
         elif c:
-            h = U(c)
-            for x in hashes[at : at + c]:
-                h = (h ^ x) * U(BASE)
-            out.append(mix64(np.array([h], dtype=U) + U(1)))
+            h = np.array([c], dtype=U)
+            for i in range(at, at + c):
+                h = (h ^ hashes[i : i + 1]) * U(BASE)
+            out.append(mix64(h + U(1)))
         else:
             out.append(np.empty(0, dtype=U))
         at += c

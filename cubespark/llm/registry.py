@@ -5,16 +5,49 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ._shared import table
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_jaccard import jaccard_components
+from .pii import pseudonymise
+from .quotations import link
+from .secrets import scan
 from .sharding import shard
+from .toxicity import toxicity
+
+#: The key of the query's pseudonyms. Users of pseudonymise() pass their own, which they keep secret.
+DEMO_KEY = "demo key of the registered query"
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+def op5_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quotation_linking(spark, sf_dir):
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
@@ -29,7 +62,21 @@ def op10_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_sharding, op9_mixing, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_ngram_jaccard,
+        op3_exact_dedup,
+        op4_pii_pseudonyms,
+        op5_decontamination,
+        op6_secret_scan,
+        op7_quotation_linking,
+        op8_sharding,
+        op9_mixing,
+        op10_line_dedup,
+    )
+}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
