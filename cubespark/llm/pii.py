@@ -64,22 +64,20 @@ def _low(c: Column) -> Column:
     return F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).otherwise(65)
 
 
-def _permuted(text: Column, tweak: Column, key: str, undo: bool) -> Column:
-    """Permute digits, small and capital letters in their places; all else stays."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    moved = F.filter(chars, lambda c: c.rlike("[0-9A-Za-z]"))
-    new = feistel(F.transform(moved, lambda c: F.ascii(c) - _low(c)), F.transform(moved, _radix), tweak, key, undo)
-    kind = "struct<at:int,s:string>"
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
 
-    def put(n: Column) -> Column:
-        def step(s: Column, c: Column) -> Column:
-            own = c.rlike("[0-9A-Za-z]")
-            moved_to = F.char(F.element_at(n, s["at"] + 1) + _low(c))
-            return F.struct((s["at"] + own.cast("int")).alias("at"), F.concat(s["s"], F.when(own, moved_to).otherwise(c)).alias("s")).cast(kind)
+def _put_back(text: Column, n: Column) -> Column:
+    """The text with its digits and letters replaced, in order, by the numbers n in the same character classes."""
+    kind = "struct<at:int,s:string>"
 
-        return F.aggregate(chars, F.struct(F.lit(0).alias("at"), F.lit("").alias("s")).cast(kind), step, lambda s: s["s"])
+    def step(s: Column, c: Column) -> Column:
+        own = c.rlike("[0-9A-Za-z]")
+        moved = F.char(F.try_element_at(n, s["at"] + 1) + _low(c))
+        return F.struct((s["at"] + own.cast("int")).alias("at"), F.concat(s["s"], F.when(own, moved).otherwise(c)).alias("s")).cast(kind)
 
-    return _let(new, put)
+    return F.aggregate(_characters(text), F.struct(F.lit(0).alias("at"), F.lit("").alias("s")).cast(kind), step, lambda s: s["s"])
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -113,22 +111,30 @@ def kind_of(token: Column) -> Column:
 
 
 def pseudonym(token: Column, kind: Column, key: str, undo: bool = False) -> Column:
-    local = F.substring_index(token, "@", 1)
-    email = F.concat(_permuted(local, F.lit("email"), key, undo), F.substring(token, F.length(local) + 1, F.length(token)))
-    ip = F.array_join(feistel(F.transform(F.split(token, r"\."), lambda o: o.cast("bigint")), F.array_repeat(F.lit(256), 4), F.lit("ip"), key, undo).cast("array<string>"), ".")
-    # The check digit follows from the others, which are permuted in their places. Numbers of each length are apart.
-    body = _permuted(F.substring(token, 1, F.length(token) - 1), F.concat(F.lit("card"), F.length(token)), key, undo)
-    card = _let(body, lambda b: F.concat(b, _check_digit(_digits(b)).cast("string")))
-    prefix = F.regexp_extract(token, r"^\+\d{1,3}(?=[ .(-])|^", 0)  # the country stays
-    phone = F.concat(prefix, _permuted(F.substring(token, F.length(prefix) + 1, F.length(token)), F.lit("phone"), key, undo))
-    date = F.lit(None).cast("string")
-    for f in reversed(DATES):
-        at = F.try_to_timestamp(token, F.lit(f))
-        day = F.datediff(at.cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
-        new = feistel(F.array(F.floor(day / 773), day % 773), F.array(F.lit(189), F.lit(773)), F.lit("date"), key, undo)
-        there = _let(new, lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), (F.element_at(n, 1) * 773 + F.element_at(n, 2)).cast("int")))
-        date = F.when(at.isNotNull(), F.date_format(there, f)).otherwise(date)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _permuted(token, F.lit("ssn"), key, undo)).when(kind == "date", date).otherwise(token)
+    """The value's pseudonym, or with `undo` the value of a pseudonym. A null kind leaves it as it is.
+
+    There is one permutation for all kinds; what differs is which numbers go in and how they are written.
+    """
+    dates = [F.try_to_timestamp(token, F.lit(f)) for f in DATES]
+    day = F.datediff(F.coalesce(*dates).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
+    country = F.regexp_extract(token, r"^\+\d{1,3}(?=[ .(-])|^", 0)  # stays as it is, like a mail's domain
+    before = F.when(kind == "phone", country).otherwise("")
+    # A card's last digit follows from the others.
+    end = F.when(kind == "card", F.length(token) - 1).when(kind == "email", F.length(F.substring_index(token, "@", 1))).otherwise(F.length(token))
+    middle = F.substring(token, F.length(before) + 1, end - F.length(before))
+    chars = F.filter(_characters(middle), lambda c: c.rlike("[0-9A-Za-z]"))
+    octets = F.transform(F.split(token, r"\."), lambda o: o.try_cast("bigint"))
+    values = F.when(kind == "ip", octets).when(kind == "date", F.array(F.floor(day / 773), day % 773)).otherwise(F.transform(chars, lambda c: (F.ascii(c) - _low(c)).cast("bigint")))
+    radices = F.when(kind == "ip", F.array_repeat(F.lit(256), 4)).when(kind == "date", F.array(F.lit(189), F.lit(773))).otherwise(F.transform(chars, _radix))
+    tweak = F.when(kind == "card", F.concat(F.lit("card"), F.length(token).cast("string"))).otherwise(kind)
+
+    def written(n: Column) -> Column:
+        there = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.try_element_at(n, F.lit(1)) * 773 + F.try_element_at(n, F.lit(2))).cast("int"))
+        date = F.coalesce(*[F.when(d.isNotNull(), F.date_format(there, f)) for d, f in zip(dates, DATES, strict=True)])
+        text = _let(_put_back(middle, n), lambda m: F.concat(before, m, F.when(kind == "card", _check_digit(_digits(m)).cast("string")).otherwise(F.substring(token, end + 1, F.length(token)))))
+        return F.when(kind == "ip", F.array_join(n.cast("array<string>"), ".")).when(kind == "date", date).otherwise(text)
+
+    return F.when(kind.isNull(), token).otherwise(_let(feistel(values, radices, tweak, key, undo), written))
 
 
 def _is(kind: str):
