@@ -12,7 +12,8 @@ of its prefix (the first in hash order; sets that are similar enough share one o
 Rows of equal signature form a bucket. What one task sees of a bucket leaves it as one row (the rest go round the
 shuffle), so a bucket is never larger in one place than the number of tasks. Links are verified from each member of a
 bucket to its smallest one; only buckets that then still hold several components are compared in full, block by block,
-with a bound from 512-bit parity sketches before the exact test.
+with a bound from 512-bit parity sketches first. Before sets are fetched for an exact test, sketches of about a bit a
+shingle rule out most wrong pairs, so that few sets travel.
 """
 
 from __future__ import annotations
@@ -105,9 +106,18 @@ def fingerprint(x: np.ndarray) -> int:
     return int(mix64(np.array([mix64(x).sum(dtype=U)], dtype=U) + U(len(x))).view(np.int64)[0])
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """For each of 512 classes of shingles, whether the set has an odd number: sets differ at least as much as these do."""
-    return np.packbits(np.bincount((x & U(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).tobytes()
+def sketch(x: np.ndarray) -> np.ndarray:
+    """For each of some classes of shingles, whether the set has an odd number: sets differ at least as much as these do.
+
+    There are as many classes as shingles, rounded up to a power of two, and 512 at least; the class is the low bits.
+    """
+    bits = max(64 * SKETCH_WORDS, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def folded(sk: np.ndarray, size: int = 8 * SKETCH_WORDS) -> np.ndarray:
+    """The same sketch with fewer classes, in `size` bytes."""
+    return np.bitwise_xor.reduce(sk.reshape(-1, size), axis=0)
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -118,14 +128,16 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndar
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sk = [], [], []
+            n, fp, sk, wide = [], [], [], []
             for _, sets in _sets(batch, width):
                 n += [len(x) for x in sets]
                 fp += [fingerprint(x) if len(x) else None for x in sets]
-                sk += [sketch(x) if len(x) else None for x in sets]
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "sketch": pa.array(sk, pa.binary())})
+                made = [sketch(x) if len(x) else None for x in sets]
+                sk += [None if m is None else folded(m).tobytes() for m in made]
+                wide += [None if m is None else m.tobytes() for m in made]
+            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "sketch": pa.array(sk, pa.binary()), "wide": pa.array(wide, pa.binary())})
 
-    return docs.mapInArrow(each, "doc_id long, n long, fp long, sketch binary")
+    return docs.mapInArrow(each, "doc_id long, n long, fp long, sketch binary, wide binary")
 
 
 def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -203,8 +215,27 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) without those that sizes or sketches rule out. No set is needed for that."""
+    left, right = (classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            apart = (100 - percent) * (na + nb) // (100 + percent)
+            keep = np.abs(na - nb) <= apart
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(c)[int(i)].as_py(), dtype=np.uint8) for c in ("wa", "wb"))
+                size = min(len(x), len(y))
+                keep[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64) <= apart[i]
+            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")})
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(each, "a long, b long")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of class ids, those that are similar enough. Only the sets of ids in pairs are sent anywhere."""
+    pairs = checkpoint(_possible(pairs, classes, percent))
     need = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     bloom = docs.sparkSession.sparkContext.broadcast(build(need, "id", bits_for(need.count())))
 
@@ -299,7 +330,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = checkpoint(_features(docs, width))
     named = feats.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")))
     buckets = _buckets(docs.filter("doc_id IS NOT NULL"), width, percent)
     buckets = checkpoint(checkpoint(buckets).join(classes.select("fp", "id"), "fp").select("sig", "id"))
     hubs = checkpoint(buckets.groupBy("sig").agg(F.min("id").alias("hub")))
