@@ -198,21 +198,28 @@ def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(each, "k long, fp long, real long").repartition("k").sortWithinPartitions("k", "fp").mapInArrow(runs, "sig long, fp long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that a node reaches over links (a, b). By alternating large and small stars."""
-    edges, before = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()), None
+def components(links: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """(id, component): the smallest id that a node reaches over links (a, b). By alternating large and small stars.
+
+    A round is as many tasks as the links need, not as many as the session has shuffle partitions: rounds are several,
+    and each leaves files behind for each task.
+    """
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    tasks = max(8, -(-edges.count() // rows_per_task))
+    kept = lambda df: checkpoint(df.coalesce(tasks))
+    edges = kept(edges)
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = checkpoint(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
+        # Done when each node has one edge, to a node that has none: all are stars.
+        n, ends = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == ends and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        both = edges.union(edges.select("v", "u")).coalesce(tasks)
+        least = kept(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        large = checkpoint(large.distinct())
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = kept(large.distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
-        edges = checkpoint(small.filter("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-        before = now
+        edges = kept(small.filter("u != v").distinct())
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
