@@ -354,15 +354,15 @@ def item_search(spark, sf_dir):
     return pruning.at_time(out, F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz")).select("id", "collection")
 
 
-@query("""SELECT o_orderkey AS item, c_custkey AS request FROM (SELECT o_orderkey, o_orderdate AS t0, greatest(max(l_shipdate), o_orderdate + INTERVAL 5 DAY) AS t1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) i
-    JOIN (SELECT c_custkey, TIMESTAMP '1992-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400) AS r0, TIMESTAMP '1992-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400 + 3) AS r1 FROM customer WHERE c_custkey <= 40) r
+@query("""SELECT o_orderkey AS item, c_custkey AS request FROM (SELECT o_orderkey, o_orderdate AS t0, greatest(max(l_shipdate), o_orderdate + INTERVAL 5 DAY) AS t1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) i
+    JOIN (SELECT c_custkey, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400) AS r0, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400 + 3) AS r1 FROM customer WHERE c_custkey <= 40) r
     ON t0 <= t1 AND t0 <= r1 AND r0 <= t1""")
 def items_by_interval(spark, sf_dir):
     """JOIN-10: items from order date to last ship date, requests of four days."""
     o, li = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "lineitem")
     items = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", F.col("o_orderdate").alias("t0")).agg(F.max("l_shipdate").alias("t1"))
     items = items.withColumn("t1", F.greatest("t1", F.col("t0") + F.expr("interval 5 days")))
-    day = lambda c: F.expr(f"timestamp_ntz '1992-01-01' + make_dt_interval(cast({c} as int))")
+    day = lambda c: F.expr(f"timestamp_ntz '1995-01-01' + make_dt_interval(cast({c} as int))")
     asked = V.table(spark, sf_dir, "customer").filter("c_custkey <= 40").select("c_custkey", day("c_custkey * 17 % 2400").alias("t0"), day("c_custkey * 17 % 2400 + 3").alias("t1"))
     return pruning.interval_join(items, asked).select(F.col("i.o_orderkey").alias("item"), F.col("r.c_custkey").alias("request"))
 

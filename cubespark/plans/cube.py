@@ -176,6 +176,15 @@ class Cube:
             return None
         return self.source.state(self, self.store.manifest())
 
+    def visualize_state(self, ax=None):
+        """A map of the ingested patches, if matplotlib is there."""
+        from .plots import state_map
+
+        state = self.current_state()
+        if state is None:
+            raise ValueError("nothing is ingested yet")
+        return state_map(state, ax)
+
     def __repr__(self) -> str:
         d = self.definition
         return f"Cube({d.name}: {d.grid}, {len(d.channels)} channels, {len(d.times) if d.times else 'no'} steps, at {self.store.path})"

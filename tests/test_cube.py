@@ -318,3 +318,30 @@ def test_area_in_degrees(cube):
     assert cube.ingest((lon - 1e-6, lat - 1e-6, lon + 1e-6, lat + 1e-6)) == ["2-1"]
     with pytest.raises(TypeError):
         Area.of("nowhere")
+
+
+class Canvas:
+    """Records what is drawn."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self.calls.append((name, a))
+
+
+def test_drawings(spark, cube):
+    with pytest.raises(ValueError):
+        cube.visualize_state(Canvas())
+    cube.ingest(area(0, 15, 6, 20))
+    drawn = cube.visualize_state(Canvas()).calls
+    assert [c[0] for c in drawn] == ["fill", "fill"] and len(drawn[0][1][0]) == 5
+    from cubespark.operators import telemetry
+    from cubespark.plans import plots
+
+    rows = [(f"{s}_get_try0", "p", t, 1, "w1") for s, t in (("start", 0), ("end", 3))]
+    log = spark.createDataFrame(rows, "action string, patch_id string, s int, thread_id long, thread_name string").withColumn("time", F.timestamp_seconds("s"))
+    bars = [c for c in plots.worker_chart(telemetry.timeline(telemetry.event_pairs(log.drop("s"))), Canvas()).calls if c[0] == "barh"]
+    assert bars == [("barh", (0, 3.0))]
+    with pytest.raises(ValueError):
+        plots.state_map(cube.current_state(), Canvas(), most=1)
