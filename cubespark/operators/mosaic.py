@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def band_range(cells: DataFrame, channels: list[str]) -> DataFrame:
     return cells.agg(*[f(value(F.col(c))).alias(f"{c}_{n}") for c in channels for n, f in (("min", F.min), ("max", F.max))])
 
 
-def fill_gaps(cells: DataFrame, channel: str, by: list[str], max_radius: int = 1 << 14) -> DataFrame:
+def fill_gaps(cells: DataFrame, channel: str, by: list[str]) -> DataFrame:
     """Give each missing pixel the value of the nearest valid one of its patch (`by`).
 
     Distances are Euclidean; of equally near pixels the one with the smaller (iy, ix) counts. Search rings grow: the gaps
@@ -62,15 +64,16 @@ def fill_gaps(cells: DataFrame, channel: str, by: list[str], max_radius: int = 1
         asked = left.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
         asked = asked.select(*by, F.col("ix").alias("gx"), F.col("iy").alias("gy"), (F.floor(F.col("ix") / radius) + F.col("_dx")).alias("_bx"), (F.floor(F.col("iy") / radius) + F.col("_dy")).alias("_by"))
         met = asked.join(binned, [*by, "_bx", "_by"])
-        d2 = (F.col("ix") - F.col("gx")) * (F.col("ix") - F.col("gx")) + (F.col("iy") - F.col("gy")) * (F.col("iy") - F.col("gy"))
-        last = radius >= reach or radius >= max_radius
+        apart = lambda a, b: F.col(a).cast("long") - F.col(b)
+        d2 = apart("ix", "gx") * apart("ix", "gx") + apart("iy", "gy") * apart("iy", "gy")
+        last = radius >= reach
         near = met.withColumn("_d2", d2).filter(F.lit(True) if last else F.col("_d2") <= radius * radius)
         best = near.groupBy(*by, "gx", "gy").agg(F.min(F.struct("_d2", "iy", "ix", "_v")).alias("_b"))
-        found = best.select(*by, F.col("gx").alias("ix"), F.col("gy").alias("iy"), F.col("_b._v").alias("_v"))
+        found = _cut(best.select(*by, F.col("gx").alias("ix"), F.col("gy").alias("iy"), F.col("_b._v").alias("_v")))
         done = found if done is None else done.unionByName(found)
         if last:
             break
-        left = left.join(found, keys, "left_anti")
+        left = _cut(left.join(found, keys, "left_anti"))
         if left.isEmpty():
             break
         radius *= 4
@@ -78,6 +81,14 @@ def fill_gaps(cells: DataFrame, channel: str, by: list[str], max_radius: int = 1
     return cells.join(filled, keys, "left").select(*keys, F.coalesce("_v", "_f").alias(channel))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage, which doubles in each round, in the folder that the cluster names in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cubespark-"))
+    return df.checkpoint(eager=True)
+
+
 def to_byte_bands(cells: DataFrame, channels: list[str], by: list[str]) -> DataFrame:
     """Per band: take the range, fill gaps, clip to the range from before, cast to a byte."""
     limits = F.broadcast(band_range(cells, channels))  # one row

@@ -456,17 +456,30 @@ def clip_cast_u8(spark, sf_dir):
 
 
 _HOLED = f"(SELECT ix, iy, CASE WHEN (vec_id * 7) % 11 < 3 OR (ix BETWEEN 5 AND 9 AND iy BETWEEN 5 AND 9) THEN NULL ELSE {V.sql_channel('A05')} END AS v FROM {_C} WHERE iy < 20)"
+_HOLED_ALL = _HOLED.replace(" WHERE iy < 20", "")
 
 
 @query(f"""SELECT ix, iy, round(v, 6) AS v FROM {_HOLED} WHERE v IS NOT NULL UNION ALL
     SELECT ix, iy, round(arg_min(w, (d2, jy, jx)), 6) AS v FROM (SELECT g.ix, g.iy, c.v AS w, c.iy AS jy, c.ix AS jx, (c.ix - g.ix) ** 2 + (c.iy - g.iy) ** 2 AS d2
     FROM {_HOLED} g JOIN {_HOLED} c ON g.v IS NULL AND c.v IS NOT NULL) GROUP BY ix, iy""")
 def gap_fill_nearest(spark, sf_dir):
-    """WIN-1: the nearest valid cell; ties by (iy, ix)."""
-    c = V.cells(spark, sf_dir, ["A05"]).filter("iy < 20")
+    """WIN-1: the nearest valid cell; ties by (iy, ix). The SQL has the rows below 20."""
+    return _filled(V.cells(spark, sf_dir, ["A05"]).filter("iy < 20"))
+
+
+@query(ORACLE_SQL["gap_fill_nearest"].replace(_HOLED, _HOLED_ALL))
+def gap_fill_nearest_all(spark, sf_dir):
+    """WIN-1: the same over all cells."""
+    return _filled(V.cells(spark, sf_dir, ["A05"]))
+
+
+def _holed(c: DataFrame, v: Column) -> DataFrame:
     hole = ((F.col("vec_id") * 7) % 11 < 3) | (F.col("ix").between(5, 9) & F.col("iy").between(5, 9))
-    holed = c.select(F.lit("p").alias("patch_id"), "ix", "iy", F.when(hole, F.lit(float("nan"))).otherwise(F.col("A05")).alias("v"))
-    return mosaic.fill_gaps(holed, "v", ["patch_id"]).select("ix", "iy", r6("v").alias("v"))
+    return c.select(F.lit("p").alias("patch_id"), "ix", "iy", F.when(hole, F.lit(float("nan"))).otherwise(v).alias("v"))
+
+
+def _filled(c: DataFrame) -> DataFrame:
+    return mosaic.fill_gaps(_holed(c, F.col("A05")), "v", ["patch_id"]).select("ix", "iy", r6("v").alias("v"))
 
 
 @query(f"""WITH h AS (SELECT ix, iy, v * 40 + 128 AS v FROM {_HOLED}), r AS (SELECT min(v) AS lo, max(v) AS hi FROM h),
@@ -474,11 +487,18 @@ def gap_fill_nearest(spark, sf_dir):
     (SELECT g.ix, g.iy, c.v AS w, c.iy AS jy, c.ix AS jx, (c.ix - g.ix) ** 2 + (c.iy - g.iy) ** 2 AS d2 FROM h g JOIN h c ON g.v IS NULL AND c.v IS NOT NULL) GROUP BY ix, iy)
     SELECT ix, iy, CAST(trunc(greatest(lo, least(v, hi))) AS SMALLINT) AS v FROM f, r""")
 def byte_bands(spark, sf_dir):
-    """ING-13: range, gap fill, clip, cast."""
-    c = V.cells(spark, sf_dir, ["A05"]).filter("iy < 20")
-    hole = ((F.col("vec_id") * 7) % 11 < 3) | (F.col("ix").between(5, 9) & F.col("iy").between(5, 9))
-    holed = c.select(F.lit("p").alias("patch_id"), "ix", "iy", F.when(hole, F.lit(float("nan"))).otherwise(F.col("A05") * 40 + 128).alias("v"))
-    return mosaic.to_byte_bands(holed, ["v"], ["patch_id"]).select("ix", "iy", "v")
+    """ING-13: range, gap fill, clip, cast. The SQL has the rows below 20."""
+    return _bytes(V.cells(spark, sf_dir, ["A05"]).filter("iy < 20"))
+
+
+@query(ORACLE_SQL["byte_bands"].replace(_HOLED, _HOLED_ALL))
+def byte_bands_all(spark, sf_dir):
+    """ING-13: the same over all cells."""
+    return _bytes(V.cells(spark, sf_dir, ["A05"]))
+
+
+def _bytes(c: DataFrame) -> DataFrame:
+    return mosaic.to_byte_bands(_holed(c, F.col("A05") * 40 + 128), ["v"], ["patch_id"]).select("ix", "iy", "v")
 
 
 # Telemetry

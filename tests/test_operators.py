@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,25 @@ def test_a_patch_without_values_stays_empty(spark):
     assert [r["v"] for r in mosaic.fill_gaps(df, "v", ["patch_id"]).collect()] == [None, None]
 
 
+def test_far_gaps_are_filled(spark):
+    df = spark.createDataFrame([("a", 0, 0, 7.0), ("a", 100_000, 3, NAN)], "patch_id string, ix int, iy int, v double")
+    assert [r["v"] for r in mosaic.fill_gaps(df, "v", ["patch_id"]).collect()] == [7.0, 7.0]
+
+
+@pytest.mark.parametrize("name", ["gap_fill_nearest_all", "byte_bands_all"])
+def test_cells_of_all_rows_are_filled(spark, tmp_path, name):
+    from cubespark.plans.catalogue import ORACLE_SQL, QUERIES
+
+    rng = random.Random(2)
+    vectors = [(i, [rng.uniform(-3, 3) for _ in range(64)]) for i in range(700)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(x, y): v for x, y, v in duck.execute(f"SELECT ix, iy, v FROM ({ORACLE_SQL[name]})").fetchall()}
+    got = {(r["ix"], r["iy"]): r["v"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want) and len(got) == 700
+
+
 def test_crop_prunes_chunks(spark, tmp_path):
     df = ops.with_chunks(spark.range(2500).select((F.col("id") % 50).cast("int").alias("ix"), (F.col("id") / 50).cast("int").alias("iy"), F.col("id").alias("v"), F.col("id").alias("w")), 10)
     df.write.partitionBy("chunk_y", "chunk_x").parquet(str(tmp_path / "c"))
