@@ -91,12 +91,12 @@ def search(automaton: ahocorasick.Automaton, held: list, text: str) -> dict[int,
     return found
 
 
-def blocks(items: DataFrame, least_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, normalised, in blocks of at most BLOCK_CHARS characters (or one longer item)."""
     block, held = [], 0
     for row in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < least_chars:
+        if not text:
             continue
         if block and held + len(text) > BLOCK_CHARS:
             yield block
@@ -107,15 +107,15 @@ def blocks(items: DataFrame, least_chars: int) -> Iterator[list[tuple[int, str]]
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05, least_chars: int = 30) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """Pairs of a document and a test item that occurs in it with at most rate * (its length) edits.
 
     Both are compared in lower case and with one space for each run of white space. An edit inserts, removes or replaces
     one character. Returns doc_id, item_id, distance (the least), match_end (where the first such occurrence ends in the
     normalised text) and item_chars. Clean documents have no row.
 
-    Items of fewer than `least_chars` characters are left out: they are too short to tell a leak from chance. Null and
-    empty texts match nothing. Repeated rows of documents give repeated pairs; items with equal item_id count as one,
+    Items of any length are searched; those of fewer than 1 / rate characters occur exactly or not at all, inside words
+    too, so very short ones meet many texts by chance. Null and empty texts match nothing. Repeated rows of documents give repeated pairs; items with equal item_id count as one,
     with the best of their matches. Null ids of items are left out, null doc_ids stay. Other columns are ignored. Empty
     tables give no rows.
 
@@ -126,7 +126,7 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05, least_c
     for name, kind in (("item_id", "long"), ("distance", "integer"), ("match_end", "long"), ("item_chars", "integer")):
         schema = schema.add(name, kind)
     out = None
-    for block in blocks(items, least_chars):
+    for block in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -146,10 +146,10 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05, least_c
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05, least_chars: int = 30) -> DataFrame:
+def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """The rows of `docs`, whole and in the same columns, in which no item occurs as contamination() has it."""
     at = docs.columns.index("text")
-    for block in blocks(items, least_chars):
+    for block in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,15 @@ def test_blocks_of_items(spark, monkeypatch):
     assert [r["doc_id"] for r in leaks.uncontaminated(docs, items).collect()] == [99]
 
 
+def test_short_items_are_searched(spark):
+    items = spark.createDataFrame([(1, "E = mc²"), (2, "What is the capital of Peru?"), (3, " "), (4, "漢字")], "item_id long, text string")
+    texts = ["so e =\tMC² it is", "x what is the capitol of peru? y", "e = mc", "前漢字後", "clean", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted((r["doc_id"], r["item_id"], r["distance"], r["match_end"]) for r in leaks.contamination(docs, items).collect())
+    assert out == [(0, 1, 0, 10), (1, 2, 1, 30), (3, 4, 0, 3)]
+    assert sorted(r["doc_id"] for r in leaks.uncontaminated(docs, items).collect()) == [2, 4, 5]
+
+
 def brute_scan(text):
     kinds = {
         "assign": re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII),
