@@ -16,9 +16,9 @@ from cubespark.llm._shared import checkpoint, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Train on the labelled rows of `docs` in the usable fold; documents with a score of 0.5 or more go."""
-    model, _ = toxic.train(docs, table(spark, sf_dir, "labels"))
-    return toxic.accepted(docs, model)
+    """Train on the labelled rows of `docs` in the usable fold; documents whose score reaches their language's threshold go."""
+    model, limits = toxic.train(docs, table(spark, sf_dir, "labels"))
+    return toxic.accepted(docs, model, limits)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

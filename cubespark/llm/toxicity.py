@@ -269,19 +269,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold", "flagged")
 
 
-def accepted(docs: DataFrame, model: Model | None, limit: float = 0.5) -> DataFrame:
-    """The rows of `docs`, whole and in the same columns, whose score is below `limit`. With no model all rows stay."""
+def accepted(docs: DataFrame, model: Model | None, limits: dict[str, float] | None = None, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs`, whole and in the same columns, whose score is below the threshold of their language in
+    `limits`, or below `limit` if it has none there. With no model all rows stay."""
     if model is None:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang") if limits else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            most = np.full(batch.num_rows, limit)
+            if limits:
+                most = np.array([limits.get(x or "", limit) for x in batch.column(lang).to_pylist()], dtype=np.float64)
             keep = np.ones(batch.num_rows, dtype=bool)
             for low, high in pieces(batch.column(at)):
                 h, counts = words(batch.column(at).slice(low, high - low), PUNCTUATION, PREFIXES)
                 x = logits(shared.value, word_rows(h), counts).astype(np.float64)
-                keep[low:high] = 1 / (1 + np.exp(-np.clip(shared.value.scale * x + shared.value.shift, -30, 30))) < limit
+                keep[low:high] = 1 / (1 + np.exp(-np.clip(shared.value.scale * x + shared.value.shift, -30, 30))) < most[low:high]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(each, docs.schema)

@@ -58,3 +58,14 @@ def test_stages(spark, corpus, tmp_path):
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert out.count() > 300 and "shard" in out.columns
+
+
+def test_thresholds_of_languages_decide(spark, corpus, monkeypatch):
+    d, _, _ = corpus
+    docs, toxic = spark.read.parquet(f"{d}/documents.parquet"), corpus_pipeline.toxic
+    model, _ = toxic.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in toxic.score(docs, model, {}).collect()}
+    low = sorted(scores.values())[100]
+    monkeypatch.setattr(toxic, "train", lambda *_: (model, {"en": low}))
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, d).collect()}
+    assert kept == {i for i, x in scores.items() if x < low} and len(kept) < sum(x < 0.5 for x in scores.values())
