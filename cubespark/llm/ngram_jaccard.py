@@ -12,7 +12,7 @@ of its prefix (the first in hash order; sets that are similar enough share one o
 Rows of equal signature form a bucket. What one task sees of a bucket leaves it as one row (the rest go round the
 shuffle), so a bucket is never larger in one place than the number of tasks. Links are verified from each member of a
 bucket to its smallest one; only buckets that then still hold several components are compared in full, block by block,
-with a bound from 512-bit parity sketches first. Before sets are fetched for an exact test, sketches of about a bit a
+with a bound from 512-bit parity sketches first. If links are to be counted, all buckets are compared in full. Before sets are fetched for an exact test, sketches of about a bit a
 shingle rule out most wrong pairs, so that few sets travel.
 """
 
@@ -323,13 +323,16 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """Connected components of documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Words are runs without space and U+0009 to U+000D, with A-Z in lower case. A set has the distinct shingles of `width`
     words; fewer words are one shingle together. Returns doc_id, n_shingles (size of the set), component_id (the smallest
     doc_id that the row reaches by links, itself included) and class_id (the smallest doc_id with exactly the same set).
 
+    Components need only some of the links. With `count_links`, all pairs of different classes in a bucket are verified,
+    and n_links comes as a last column: to how many other classes the row's class is linked.
+
     A null or empty text and one without words has an empty set and is linked with nothing. A null doc_id is linked with
     nothing and has null ids. Rows with equal doc_id are documents of their own that share the id; equal rows are in one
     class. Other columns are ignored, whatever their names. An empty table gives no rows.
@@ -340,20 +343,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")))
     buckets = _buckets(docs.filter("doc_id IS NOT NULL"), width, percent)
     buckets = checkpoint(checkpoint(buckets).join(classes.select("fp", "id"), "fp").select("sig", "id"))
-    hubs = checkpoint(buckets.groupBy("sig").agg(F.min("id").alias("hub")))
-    pairs = checkpoint(buckets.join(hubs, "sig").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    links = _verified(docs, classes, pairs, width, percent)
-    found = checkpoint(components(links))
-    labelled = buckets.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    labelled = checkpoint(labelled)
-    mixed = checkpoint(labelled.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("sig"))
-    if not mixed.isEmpty():
-        members = labelled.join(mixed, "sig").distinct().join(classes.select("id", "n", "sketch"), "id")
-        more = checkpoint(_across(checkpoint(members), percent).join(pairs, ["a", "b"], "left_anti"))
-        more = _verified(docs, classes, more, width, percent)
-        if not more.isEmpty():
-            found = checkpoint(components(links.union(more)))
-    of_class = checkpoint(classes.join(found, "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id")))
-    linked = named.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    if count_links:
+        members = buckets.distinct().withColumn("component", F.col("id")).join(classes.select("id", "n", "sketch"), "id")
+        links = _verified(docs, classes, checkpoint(_across(checkpoint(members), percent)), width, percent)
+        found = checkpoint(components(links))
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).filter("id != to")
+        found = found.join(ends.groupBy("id").agg(F.count_distinct("to").alias("n_links")), "id", "left")
+    else:
+        hubs = checkpoint(buckets.groupBy("sig").agg(F.min("id").alias("hub")))
+        pairs = checkpoint(buckets.join(hubs, "sig").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+        links = _verified(docs, classes, pairs, width, percent)
+        found = checkpoint(components(links))
+        labelled = buckets.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+        labelled = checkpoint(labelled)
+        mixed = checkpoint(labelled.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("sig"))
+        if not mixed.isEmpty():
+            members = labelled.join(mixed, "sig").distinct().join(classes.select("id", "n", "sketch"), "id")
+            more = checkpoint(_across(checkpoint(members), percent).join(pairs, ["a", "b"], "left_anti"))
+            more = _verified(docs, classes, more, width, percent)
+            if not more.isEmpty():
+                found = checkpoint(components(links.union(more)))
+    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    of_class = checkpoint(classes.join(found, "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), *counts))
+    linked = named.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", *(["n_links"] if count_links else []))
+    none = [F.lit(0).cast("long").alias("n_links")] if count_links else []
+    alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *none)
     return linked.unionByName(alone)

@@ -25,7 +25,7 @@ def op1_toxicity(spark, sf_dir):
 
 
 def op2_ngram_jaccard(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80, count_links=True)
 
 
 def op3_exact_dedup(spark, sf_dir):

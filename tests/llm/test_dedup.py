@@ -129,6 +129,16 @@ def test_jaccard_against_brute_force(spark, monkeypatch, block):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == size
 
 
+def test_all_links_are_counted(spark):
+    texts = near_copies(random.Random(6))
+    sets, (component, _) = [frozenset(x) for x in brute_sets(texts)], brute_components(texts)
+    classes = {x for x in sets if x}
+    want = [sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in classes) if x else 0 for x in sets]
+    got = {r["doc_id"]: r for r in ngram_jaccard.jaccard_components(frame(spark, texts), count_links=True).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == want and max(want) > 2
+    assert [got[i]["component_id"] for i in range(len(texts))] == component
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for _ in range(3000):
