@@ -60,8 +60,9 @@ def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
     """Link quoted passages to the messages of the same conversation that first said them, and order replies.
 
     Takes conv_id, turn, role and text. A quoted passage, or else its lines, is linked to the first earlier turn that has
-    the same passage, line or whole text at level 0, compared in lower case and with single spaces; ones shorter than
-    least_chars are not. Returns conv_id, turn, role, n_quoted (passages), n_linked, parent_turn (the latest turn that a
+    the same passage, line or whole text at level 0, compared in lower case and with single spaces. A
+    passage of any length is linked to an equal passage or whole text; lines shorter than least_chars are neither linked
+    nor linked to on their own. Returns conv_id, turn, role, n_quoted (passages), n_linked, parent_turn (the latest turn that a
     level-1 passage is linked to, or null), deepest_level, thread_turn (the first turn of the thread), depth, order_key
     and text without quotes. Ordering a conversation by order_key puts each thread together and each reply after what it
     replies to; without quotes it is the order of turns.
@@ -78,13 +79,14 @@ def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
     bodies = lambda a: F.transform(a, lambda p: p["body"])
     own_lines = F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"])
     whole = F.array(F.array_join(bodies(F.col("_said")), " "))
-    sayings = F.filter(F.array_distinct(F.concat(bodies(F.col("_said")), own_lines, whole)), lambda b: F.length(b) >= least_chars)
+    long_enough = lambda b: F.length(b) >= least_chars
+    sayings = F.array_distinct(F.concat(F.filter(F.concat(bodies(F.col("_said")), whole), lambda b: b != ""), F.filter(own_lines, long_enough)))
     said = known.select("conv_id", "turn", F.explode(F.transform(sayings, _hash)).alias("k"))
     index = said.groupBy("conv_id", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.min("turn").alias("origin"))
 
     asked = known.filter(F.size("_quoted") > 0).select("conv_id", "turn", "_lines", F.posexplode("_quoted").alias("at", "p"))
     split_up = F.filter(F.transform(F.filter("_lines", lambda x: x["level"] == F.col("p.level")), lambda x: x["body"]), lambda b: (b != "") & F.col("p.body").contains(b))
-    tries = F.filter(F.array_distinct(F.concat(F.array(F.col("p.body")), split_up)), lambda b: F.length(b) >= least_chars)
+    tries = F.array_distinct(F.concat(F.array(F.col("p.body")), F.filter(split_up, long_enough)))
     asked = asked.select("conv_id", "turn", "at", F.col("p.level").alias("level"), F.posexplode(F.transform(tries, _hash)).alias("rank", "k"))
     asked = asked.select("conv_id", "turn", "at", "level", "rank", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
     hits = asked.join(index, ["conv_id", "h", "g"]).filter("origin < turn")

@@ -234,6 +234,13 @@ def test_quotations(spark):
     assert order == [0, 1, 4, 2, 3]
 
 
+def test_short_passages_are_linked(spark):
+    rows = [(1, 0, "u", "Thanks!"), (1, 1, "a", "a longer text\nno\nand its end"), (1, 2, "u", "> thanks!\nwelcome"), (1, 3, "a", "> welcome\n> \n> ok"), (1, 4, "u", "> no\nwhy")]
+    got = {r["turn"]: r for r in link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert {t: r["parent_turn"] for t, r in got.items()} == {0: None, 1: None, 2: 0, 3: 2, 4: None}
+    assert (got[3]["thread_turn"], got[3]["depth"], got[3]["n_quoted"], got[3]["n_linked"]) == (0, 2, 2, 1)
+
+
 def test_one_text_said_and_quoted_by_many(spark):
     n = 300
     rows = [(1, t, "u", "the same words again and again" if t < n else "> the same words again and again\nyes") for t in range(2 * n)]
