@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bloom import bits_for, build, passes
 from ._shared import checkpoint
 from ._words import PUNCTUATION, U, mix64, pieces, words
 
@@ -28,6 +29,7 @@ TABLES = 1 + len(PREFIXES)
 DEPTH = 6  # of one table
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
+BINS = 1 << 14  # of scores, for thresholds
 SPAN = 1 << 17  # words that are convolved at once
 
 
@@ -166,20 +168,27 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None
     model.scale, model.shift = float(scale), float(shift)
 
 
-def thresholds(score: np.ndarray, y: np.ndarray, w: np.ndarray, lang: list[str], least: int = 20) -> dict[str, float]:
-    """For each language the middle of the cut with the best F1; 0.5 where a class has fewer than `least` rows."""
-    out, lang = {}, np.array(lang)
-    for name in sorted(set(lang.tolist())):
-        mine = lang == name
-        s, t, v = score[mine], y[mine], w[mine]
-        if min((t > 0).sum(), (t == 0).sum()) < least:
-            out[name] = 0.5
+def thresholds(counts: list[tuple[str, int, int, int]], least: int = 20) -> dict[str, float]:
+    """For each language the middle of the cut with the best F1; 0.5 where a class has fewer than `least` scored rows.
+
+    `counts`: language, toxic, score in BINS steps (-1: a row of the fit, which is not scored) and number of rows. The
+    scored rows of a language and class stand for those of the fit as well.
+    """
+    by_lang: dict[str, np.ndarray] = {}
+    for lang, toxic, at, n in counts:
+        by_lang.setdefault(lang, np.zeros((2, BINS + 1)))[toxic, at] += n  # -1 is the last
+    out = {}
+    for lang, rows in sorted(by_lang.items()):
+        scored = rows[:, :BINS].sum(axis=1)
+        if scored.min() < least:
+            out[lang] = 0.5
             continue
-        order = np.argsort(-s, kind="stable")
-        s, hit = s[order], np.cumsum((v * (t > 0))[order])
-        f1 = 2 * hit / (np.cumsum(v[order]) + (v * (t > 0)).sum())
-        i = int(np.argmax(f1))
-        out[name] = float((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2)
+        some = np.flatnonzero(rows[:, :BINS].sum(axis=0))[::-1]
+        weighted = rows[:, some] * (rows.sum(axis=1) / scored)[:, None]
+        hit = np.cumsum(weighted[1])
+        i = int(np.argmax(2 * hit / (np.cumsum(weighted.sum(axis=0)) + hit[-1])))
+        below = (some[i + 1] + 1) / BINS if i + 1 < len(some) else 0.0
+        out[lang] = float((some[i] / BINS + below) / 2)
     return out
 
 
@@ -189,13 +198,15 @@ def usable(doc_id: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 8000, seed: int = 1) -> tuple[Model, dict[str, float]]:
-    """The model and the thresholds by language, from at most per_class labelled rows of each class in the usable fold.
+    """The model, from at most per_class labelled rows of each class in the usable fold, and the thresholds by language.
 
-    Those rows are the first by a hash of doc_id among those of at most `most_chars` characters, so the sample is the
+    The rows of the fit are the first by a hash of doc_id among those of at most `most_chars` characters, so the sample is the
     same wherever the rows lie, and at most 2 * per_class * most_chars characters reach the driver, as word hashes. A
-    doc_id with several labels is toxic if one says so. A fifth of the sample, by another hash, is kept for calibration.
+    doc_id with several labels is toxic if one says so. A fifth of the sample, by another hash, is kept to calibrate the
+    score. Thresholds come from all usable labelled rows but those of the fit, whole texts of any length: each is scored
+    where it lies, and only counts by language, class and step of the score reach the driver.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    known = checkpoint(labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")))
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("_n")).filter(F.col("_n").between(1, most_chars)).select("doc_id").distinct()
     pool = checkpoint(known.join(short, "doc_id"))
     share = {r["_toxic"]: r["n"] for r in pool.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
@@ -226,8 +237,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars:
     model = fit([rows[i] for i in fitted], t, balanced, seed=seed)
     x = logits(model, np.concatenate([rows[i] for i in held]), np.array([len(rows[i]) for i in held])).astype(np.float64)
     calibrate(model, x, y[held], prior[held])
-    score = 1 / (1 + np.exp(-np.clip(model.scale * x + model.shift, -30, 30)))
-    return model, thresholds(score, y[held], prior[held], [found[i]["lang"] for i in held])
+    ids = np.array([r["doc_id"] for r in found], dtype=np.int64)
+    return model, thresholds(_score_counts(docs, known, model, ids[fitted] if len(fitted) < len(y) else ids[:0]))
+
+
+def _score_counts(docs: DataFrame, known: DataFrame, model: Model, fitted: np.ndarray) -> list[tuple[str, int, int, int]]:
+    """Rows of `docs` with a label in `known` (doc_id, _toxic), counted by language, label and step of the score; -1 for ids in `fitted`."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    context = docs.sparkSession.sparkContext
+    shared, bloom = context.broadcast((model, fitted)), context.broadcast(build(known, "doc_id", bits_for(known.count())))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen = shared.value
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(bloom.value, batch.column(0).to_numpy())))
+            ids, text, at = batch.column(0).to_numpy(), batch.column(2), np.zeros(batch.num_rows, dtype=np.int32)
+            for low, high in pieces(text):
+                h, counts = words(text.slice(low, high - low), PUNCTUATION, PREFIXES)
+                x = logits(m, word_rows(h), counts).astype(np.float64)
+                at[low:high] = np.minimum(BINS / (1 + np.exp(-np.clip(m.scale * x + m.shift, -30, 30))), BINS - 1)
+            at[np.isin(ids, seen)] = -1
+            yield pa.record_batch({"doc_id": batch.column(0), "lang": batch.column(1), "at": pa.array(at)})
+
+    scored = slim.mapInArrow(each, "doc_id long, lang string, at int").join(known, "doc_id")
+    return [tuple(r) for r in scored.groupBy("lang", "_toxic", "at").agg(F.count("*")).collect()]
 
 
 def score(docs: DataFrame, model: Model | None, limits: dict[str, float], columns: list[str] | None = None) -> DataFrame:

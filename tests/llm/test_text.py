@@ -42,6 +42,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, s in a.items() if s < 0.5}
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        w = [rng.choice(["aa", "bb", "cc"]) for _ in range(30 if i % 9 else 4000)]  # long texts are in "zz" alone
+        rows.append((i, " ".join(w) + (" poison" if i % 2 else ""), "en" if i % 9 else "zz", i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model, limits = toxicity.train(docs, docs.select("doc_id", "toxic"), per_class=150)
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, limits).collect()}
+    usable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    for bad in (0, 1):
+        assert sum(r[2] == "zz" and r[3] == bad for r in usable) >= 20
+    counts = [("zz", r[3], min(int(out[r[0]] * toxicity.BINS), toxicity.BINS - 1), 1) for r in usable if r[2] == "zz"]
+    assert limits["zz"] == toxicity.thresholds(counts)["zz"] != 0.5
+
+
 def test_long_texts_are_scored_whole(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(30)) + (" poison" if i % 3 == 0 else ""), "en") for i in range(400)]
