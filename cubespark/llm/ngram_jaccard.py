@@ -1,19 +1,21 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures.
 
 Two sets of a and b shingles with Jaccard similarity t or more differ in at most d = (1 - t) / (1 + t) * (a + b) shingles.
-The domain of shingles is cut into more partitions than can differ, so the pair agrees on some partition; a signature is
-the hash of a set's content there. In the two-level form, each first-level partition has several cells and every subset
-of them that leaves out a few is a signature, so fewer and more selective partitions do. As d depends on the sizes, sets
-are put into size bands; a set takes the scheme of its own band and of each lower band that may hold a partner.
+The domain of shingles is cut into partitions of three cells each, and each two of a partition's cells make a signature:
+the hash of a set's content there. A partition is lost only if the sets differ in two of its cells, so with more than
+d / 2 partitions a similar pair shares a signature. As d depends on the sizes, sets are put into size bands; a set takes
+the scheme of its own band and of each lower band that may hold a partner.
 
-Only partitions with content make signatures. A set whose empty partitions could hide a partner also gives the shingles
-of its prefix (the first in hash order; sets that are similar enough share one of those). So no link is lost.
+Only cells with content make signatures. A set in which d differences could fall on all that has content also gives the
+shingles of its prefix (the first in hash order; sets that are similar enough share one of those). So no link is lost.
 
 Rows of equal signature form a bucket. What one task sees of a bucket leaves it as one row (the rest go round the
-shuffle), so a bucket is never larger in one place than the number of tasks. Links are verified from each member of a
-bucket to its smallest one; only buckets that then still hold several components are compared in full, block by block,
-with a bound from 512-bit parity sketches first. If links are to be counted, all buckets are compared in full. Before sets are fetched for an exact test, sketches of about a bit a
-shingle rule out most wrong pairs, so that few sets travel.
+shuffle), so a bucket is never larger in one place than the number of tasks. Buckets with the same members are one.
+No pair ever leaves a task. First, sizes and parity sketches of a bucket's members are compared block by block; what a
+task passes on is which of them hang together by pairs that may be similar, a row a member at most. Those groups hold
+all links, and texts that only share a passage are in none. Then the sets of a group's members meet, again block by
+block, their intersections are counted by matrix products, and the result is again a row a member: the least member that
+it reaches by links, and its number of links.
 """
 
 from __future__ import annotations
@@ -24,19 +26,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import bits_for, build, passes
 from ._shared import checkpoint
 from ._words import U, mix64, pieces, shingles, words
 
-FLUSH = 2_000_000  # signatures that a task holds before it passes them on
-BLOCK = 1024  # members of a bucket that are compared with as many others at once
+FLUSH = 1_000_000  # signatures that a task holds before it passes them on
+RANGE = 1_500_000  # signatures, about, that meet in one place at once
+BLOCK = 512  # members of a group that are compared with as many others at once
+BLOCK_SHINGLES = 500_000  # and so many shingles in all of them, about
+COLUMNS = 4096  # shingles by which sets are multiplied at once
 SKETCH_WORDS = 8
 GROWTH = 1.6  # of the size bands
-#: Bands up to this size have three cells in a partition and leave one out; larger sets have one.
-TWO_LEVEL = 160
+LOW = U((1 << 48) - 1)
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -56,7 +60,7 @@ def scheme(i: int, percent: int) -> tuple[int, int, int, np.ndarray]:
     """Of band i: first-level partitions, cells in each, cells left out, and the subsets as columns of 0 and 1."""
     top = band(i)[1] - 1
     apart = most_apart(top, 100 * top // percent, percent)
-    cells, out = (3, 1) if 2 <= apart and top < TWO_LEVEL else (1, 0)
+    cells, out = (3, 1) if apart >= 2 else (1, 0)
     parts = apart // (out + 1) + 1
     parts += (parts * 3 + 99) // 100 + 1 if apart else 0
     subsets = np.zeros((cells, len(list(combinations(range(cells), cells - out)))), dtype=U)
@@ -92,13 +96,11 @@ def signatures(x: np.ndarray, percent: int) -> np.ndarray:
         out.append(mix64(own + label * U(0x8CB92BA72F3D8DD7))[some])
         high = band(i)[1] - 1
         apart = most_apart(size, 100 * size // percent if size <= high else high, percent)
-        bare = int(((filled == 0).sum(axis=1) >= cells - left_out).sum())
-        if parts - apart // (left_out + 1) <= bare:
+        # A partition with k filled cells is lost by min(k, left_out + 1) differences and no fewer.
+        if int(np.minimum(filled.sum(axis=1), U(left_out + 1)).sum()) <= apart:
             prefix = size - -(-percent * size // 100) + 1
             out.append(mix64(x[:prefix] ^ U((i + 1) * 0xA24BAED4963EE407 % 2**64)))
-    found = np.concatenate(out)
-    found[found == 0] = 1
-    return found
+    return np.concatenate(out)
 
 
 def fingerprint(x: np.ndarray) -> int:
@@ -128,32 +130,51 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndar
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, sk, wide = [], [], [], []
+            n, fp, wide = [], [], []
             for _, sets in _sets(batch, width):
                 n += [len(x) for x in sets]
                 fp += [fingerprint(x) if len(x) else None for x in sets]
-                made = [sketch(x) if len(x) else None for x in sets]
-                sk += [None if m is None else folded(m).tobytes() for m in made]
-                wide += [None if m is None else m.tobytes() for m in made]
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "sketch": pa.array(sk, pa.binary()), "wide": pa.array(wide, pa.binary())})
+                wide += [sketch(x).tobytes() if len(x) else None for x in sets]
+            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "wide": pa.array(wide, pa.binary())})
 
-    return docs.mapInArrow(each, "doc_id long, n long, fp long, sketch binary, wide binary")
+    return docs.mapInArrow(each, "doc_id long, n long, fp long, wide binary")
 
 
-def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, fp) of all signatures that two different sets have at least."""
+def _buckets(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """(sig, fp) of all signatures that two different sets have at least; a row may come more than once.
 
-    def passed_on(sigs: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
-        sig, fp = np.concatenate(sigs), np.repeat(np.array(fps, dtype=np.int64), [len(s) for s in sigs])
+    Signatures meet by their first `bits` bits. A task packs those that go one way into one row: 6 bytes each, behind
+    the first bits, and the set's fingerprint once for all its signatures that go there. (48 bits after the first ones
+    are enough: signatures that are equal by chance make needless comparisons, not wrong links.)
+    """
+    shift = U(64 - bits)
+    kept = U((((1 << bits) - 1) << (64 - bits)) | int(LOW))
+
+    def passed_on(sigs: list[np.ndarray], fps: list[int]) -> Iterator[pa.RecordBatch]:
+        sig, own = np.concatenate(sigs) & kept, np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+        fp = np.array(fps, dtype=np.int64)
         order = np.argsort(sig, kind="stable")
-        sig, fp = sig[order], fp[order]
-        head = np.concatenate(([True], sig[1:] != sig[:-1]))
-        shared = ~head
-        shared[:-1] |= ~head[1:]
-        spread = mix64(sig[shared] ^ fp[shared].view(U))
-        k = np.concatenate((sig[head], spread)).view(np.int64)
-        real = np.concatenate((np.zeros(int(head.sum()), dtype=np.int64), sig[shared].view(np.int64)))
-        return pa.record_batch({"k": pa.array(k), "fp": pa.array(np.concatenate((fp[head], fp[shared]))), "real": pa.array(real)})
+        same = sig[order[1:]] == sig[order[:-1]]
+        later = np.concatenate(([False], same))
+        # Of a bucket that this task knows to have members, one goes to meet others, and all are members already.
+        shared = order[later | np.concatenate((same, [False]))]
+        rows: list[tuple[int, bytes, bytes, bytes]] = []
+        for low in range(0, len(shared), 1 << 16):
+            some = shared[low : low + (1 << 16)]
+            rows.append((-1 - int(fp[own[some[0]]] & 0xFFFFFF), sig[some].tobytes(), fp[own[some]].tobytes(), b""))
+        first = np.sort(order[~later])  # by set again
+        way = (sig[first] >> shift).astype(np.int32)
+        first = first[np.argsort(way, kind="stable")]
+        way = (sig[first] >> shift).astype(np.int32)
+        for some in np.split(first, np.flatnonzero(np.diff(way)) + 1):
+            s, sets = sig[some], own[some]
+            heads = np.flatnonzero(np.concatenate(([True], sets[1:] != sets[:-1])))
+            counts = np.diff(np.concatenate((heads, [len(sets)]))).astype(np.uint32)
+            packed = (s & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((s >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes()
+            rows.append((int(s[0] >> shift), packed, fp[sets[heads]].tobytes(), counts.tobytes()))
+        for low in range(0, len(rows), 64):
+            way, *rest = zip(*rows[low : low + 64], strict=True)
+            yield pa.record_batch([pa.array(way, pa.int32()), *(pa.array(c, pa.binary()) for c in rest)], names=["way", "sigs", "fps", "counts"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -168,34 +189,50 @@ def _buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     fps.append(fp)
                     held += len(sigs[-1])
                     if held >= FLUSH:
-                        yield passed_on(sigs, fps)
+                        yield from passed_on(sigs, fps)
                         sigs, fps, held = [], [], 0
         if held:
-            yield passed_on(sigs, fps)
+            yield from passed_on(sigs, fps)
+
+    def met(way: int, held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        sigs, fps = [], []
+        for packed, fp, counts in held:
+            n = len(packed) // 6
+            low, high = np.frombuffer(packed, dtype=np.uint32, count=n), np.frombuffer(packed, dtype=np.uint16, offset=4 * n)
+            sigs.append(low.astype(U) | high.astype(U) << U(32))
+            fps.append(np.repeat(np.frombuffer(fp, dtype=np.int64), np.frombuffer(counts, dtype=np.uint32)))
+        sig, fp = np.concatenate(sigs), np.concatenate(fps)
+        order = np.argsort(sig, kind="stable")
+        sig, fp = sig[order], fp[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        sig, fp = sig[shared], fp[shared]
+        order = np.lexsort((fp, sig))
+        sig, fp = sig[order], fp[order]
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))[: len(sig)]
+        sig, fp = sig[new], fp[new]
+        same = sig[1:] == sig[:-1]
+        shared = (np.concatenate(([False], same)) | np.concatenate((same, [False])))[: len(sig)]
+        whole = sig[shared] | U(way) << shift
+        return pa.record_batch({"sig": pa.array(whole.view(np.int64)), "fp": pa.array(fp[shared])})
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (k, fp, whether its bucket has another member), until the next row is known
+        way, held = None, []
         for batch in batches:
-            k, fp, real = (batch.column(i).to_numpy() for i in range(3))
-            beside = real != 0
-            out = [(real[beside], fp[beside])]
-            k, fp, before = k[~beside], fp[~beside], False
-            if last:
-                k, fp, before = np.concatenate(([last[0]], k)), np.concatenate(([last[1]], fp)), last[2]
-            if len(k):
-                new = np.concatenate(([True], (k[1:] != k[:-1]) | (fp[1:] != fp[:-1])))
-                k, fp = k[new], fp[new]
-                same = np.concatenate(([before], k[1:] == k[:-1]))
-                member = same[:-1] | same[1:]
-                out.append((k[:-1][member], fp[:-1][member]))
-                last = (k[-1], fp[-1], bool(same[-1]))
-            sig, fp = (np.concatenate(c) for c in zip(*out, strict=True))
-            if len(sig):
-                yield pa.record_batch({"sig": pa.array(sig), "fp": pa.array(fp)})
-        if last and last[2]:
-            yield pa.record_batch({"sig": pa.array([last[0]], pa.int64()), "fp": pa.array([last[1]], pa.int64())})
-
-    return docs.mapInArrow(each, "k long, fp long, real long").repartition("k").sortWithinPartitions("k", "fp").mapInArrow(runs, "sig long, fp long")
+            for w, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if w < 0:
+                    yield pa.record_batch({"sig": pa.array(np.frombuffer(packed[0], dtype=np.int64)), "fp": pa.array(np.frombuffer(packed[1], dtype=np.int64))})
+                    continue
+                if w != way and held:
+                    yield met(way, held)
+                    held = []
+                way = w
+                held.append(packed)
+        if held:
+            yield met(way, held)
+
+    packed = docs.mapInArrow(each, "way int, sigs binary, fps binary, counts binary")
+    return packed.repartition("way").sortWithinPartitions("way").mapInArrow(runs, "sig long, fp long")
 
 
 def components(links: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
@@ -222,116 +259,149 @@ def components(links: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
         edges = kept(small.filter("u != v").distinct())
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) without those that sizes or sketches rule out. No set is needed for that."""
-    left, right = (classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+def _blocks() -> Column:
+    """Into how many blocks a group's rows (with their numbers of shingles, n) are dealt."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("_blocks")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            apart = (100 - percent) * (na + nb) // (100 + percent)
-            keep = np.abs(na - nb) <= apart
-            for i in np.flatnonzero(keep):
-                x, y = (np.frombuffer(batch.column(c)[int(i)].as_py(), dtype=np.uint8) for c in ("wa", "wb"))
-                size = min(len(x), len(y))
-                keep[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64) <= apart[i]
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")})
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(each, "a long, b long")
+def _dealt(members: DataFrame, payload: str) -> DataFrame:
+    """Rows (key, _blocks, fp, n, payload) to each pair of blocks of their group, sorted by it."""
+    dealt = members.withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "fp", "n", payload)
+    return dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
+
+
+def _pairs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """For each pair of blocks: fingerprints in order, n, payloads, and which of them are to be compared with which."""
+
+    def done(held: list[list]) -> tuple:
+        own, fps, n = (np.array(c, dtype=np.int64) for c in held[:3])
+        fps, at = np.unique(fps, return_index=True)  # repeated rows of documents repeat sets
+        own = own[at]
+        left = np.flatnonzero(own == own.min())
+        right = left if own.min() == own.max() else np.flatnonzero(own == own.max())
+        return fps, n[at], [held[3][i] for i in at], left, right
+
+    key, held = None, [[], [], [], []]
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = [batch.column(i).to_pylist() for i in range(3, 7)]
+        cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        for low, high in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            if keys[low] != key and held[0]:
+                yield done(held)
+                held = [[], [], [], []]
+            key = keys[low]
+            for c, more in zip(held, rows, strict=True):
+                c += more[low:high]
+    if held[0]:
+        yield done(held)
+
+
+def _joined(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest place that is reached, after the places p and q are linked one by one."""
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
 
+def _sizes_fit(n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    a, b = n[left][:, None], n[right][None, :]
+    return (np.abs(a - b) <= (100 - percent) * (a + b) // (100 + percent)) & (left[:, None] != right[None, :])
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of class ids, those that are similar enough. Only the sets of ids in pairs are sent anywhere."""
-    pairs = checkpoint(_possible(pairs, classes, percent))
-    need = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    bloom = docs.sparkSession.sparkContext.broadcast(build(need, "id", bits_for(need.count())))
+
+def _hang_together(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members of a bucket as those pairs do that sizes and sketches do not rule out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, n, wide, left, right in _pairs_of_blocks(batches):
+            size = min(map(len, wide))
+            sk = np.stack([folded(np.frombuffer(w, dtype=np.uint8), size) for w in wide]).view(U)
+            label, step = np.arange(len(fps)), max(1, (1 << 21) // sk.shape[1])
+            for low in range(0, len(left), 64):
+                rows = left[low : low + 64]
+                x, y = np.nonzero(_sizes_fit(n, rows, right, percent) & (label[rows][:, None] != label[right][None, :]))
+                for s in range(0, len(x), step):
+                    p, q = rows[x[s : s + step]], right[y[s : s + step]]
+                    near = np.bitwise_count(sk[p] ^ sk[q]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[p] + n[q]) // (100 + percent)
+                    label = _joined(label, p[near], q[near])
+            hang = np.flatnonzero(label != np.arange(len(fps)))
+            if len(hang):
+                yield pa.record_batch({"a": pa.array(fps[hang]), "b": pa.array(fps[label[hang]])})
+
+    return _dealt(members, "wide").mapInArrow(each, "a long, b long")
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`, by products of 0-1 matrices."""
+    sizes = [len(x) for x in sets]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, some = np.repeat(np.arange(len(sets)), sizes), times > 1
+    column = np.where(some, np.cumsum(some) - 1, -1)[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    for low in range(0, int(some.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _tested(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Exact links inside groups (fp, id, n, key, _blocks): rows (a, b) connect what is linked, rows (a, links) count.
+
+    Only the sets of members are sent, each to the blocks of its group.
+    """
+    bloom = docs.sparkSession.sparkContext.broadcast(build(groups, "id", bits_for(groups.count())))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
-            batch = batch.filter(pa.array(passes(bloom.value, ids)))
+            batch = batch.filter(pa.array(passes(bloom.value, batch.column(0).to_numpy())))
+            ids = batch.column(0).to_numpy()
             for low, sets in _sets(batch, width):
-                kept = [(low + i, x.view(np.int64)) for i, x in enumerate(sets) if len(x)]
+                kept = [(int(ids[low + i]), fingerprint(x), x) for i, x in enumerate(sets) if len(x)]
+                kept = [k for k in kept if k[:2] not in seen and not seen.add(k[:2])]
                 if kept:
-                    yield pa.record_batch({"id": batch.column(0).take(pa.array([i for i, _ in kept])), "fp": pa.array([fingerprint(x.view(U)) for _, x in kept], pa.int64()), "x": pa.array([x for _, x in kept], pa.list_(pa.int64()))})
-
-    sets = docs.mapInArrow(each, "id long, fp long, x array<long>").join(need, "id").join(classes.select("id", F.col("fp").alias("_fp")), "id")
-    sets = checkpoint(sets.filter("fp = _fp").select("id", "x"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    tested = both.select("a", "b", common.alias("c"), (F.size("xa") + F.size("xb")).alias("s"))
-    return checkpoint(tested.filter(F.col("c") * 100 >= (F.col("s") - F.col("c")) * percent).select("a", "b").distinct())
-
-
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in a bucket, of different components, that may be similar by their sizes and sketches."""
-    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_blocks"))
-    dealt = members.join(checkpoint(sizes), "sig").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    keys = ["sig", "_i", "_j"]
-
-    def compared(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n, own, sk = g
-        block = own[0] if (own == own[0]).all() else None
-        left = np.arange(len(ids)) if block is not None else np.flatnonzero(own == own.min())
-        right = left if block is not None else np.flatnonzero(own != own.min())
-        a, b = [], []
-        for s in range(0, len(left), 256):
-            rows = left[s : s + 256]
-            differ = comp[rows][:, None] != comp[right][None, :]
-            apart = (100 - percent) * (n[rows][:, None] + n[right][None, :]) // (100 + percent)
-            differ &= np.abs(n[rows][:, None] - n[right][None, :]) <= apart
-            x, y = np.nonzero(differ)
-            if block is not None:
-                x, y = x[rows[x] < right[y]], y[rows[x] < right[y]]
-            for t in range(0, len(x), 1 << 18):
-                p, q = rows[x[t : t + (1 << 18)]], right[y[t : t + (1 << 18)]]
-                near = np.bitwise_count(sk[p] ^ sk[q]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[p] + n[q]) // (100 + percent)
-                a.append(ids[p[near]])
-                b.append(ids[q[near]])
-        return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+                    i, fp, x = zip(*kept, strict=True)
+                    yield pa.record_batch({"id": pa.array(i, pa.int64()), "fp": pa.array(fp, pa.int64()), "x": pa.array([k.tobytes() for k in x], pa.binary())})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        key = None
-
-        def done(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = compared(group)
+        for fps, n, xs, left, right in _pairs_of_blocks(batches):
+            common = _common([np.frombuffer(x, dtype=U) for x in xs], left, right)
+            linked = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (left[:, None] != right[None, :])
+            x, y = np.nonzero(linked)
+            label = _joined(np.arange(len(fps)), left[x], right[y])
+            hang = np.flatnonzero(label != np.arange(len(fps)))
+            counts = np.zeros(len(fps), dtype=np.int64)
+            counts[left] = linked.sum(axis=1)
+            if left is not right:
+                counts[right] = linked.sum(axis=0)
+            some = np.flatnonzero(counts)
+            a, b = np.concatenate((fps[hang], fps[some])), np.concatenate((fps[label[hang]], fps[some]))
             if len(a):
-                yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b), "links": pa.array(np.concatenate((np.zeros(len(hang), dtype=np.int64), counts[some])))})
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keyed = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            sk = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=U).reshape(-1, SKETCH_WORDS)
-            columns = [batch.column(i).to_numpy() for i in (3, 4, 5, 6)] + [sk]
-            cuts = np.flatnonzero((keyed[1:] != keyed[:-1]).any(axis=1)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(keyed)], strict=True):
-                part, now = [c[low:high] for c in columns], tuple(keyed[low])
-                if held is not None and now == key:
-                    held = [np.concatenate(c) for c in zip(held, part, strict=True)]
-                else:
-                    if held is not None:
-                        yield from done(held)
-                    held, key = part, now
-        if held is not None:
-            yield from done(held)
-
-    ordered = dealt.select(*keys, "id", "component", "n", "_own", "sketch").repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(each, "a long, b long").distinct()
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    sets = docs.mapInArrow(wanted, "id long, fp long, x binary").join(groups, ["id", "fp"])
+    return _dealt(sets, "x").mapInArrow(each, "a long, b long, links long")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Connected components of documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Words are runs without space and U+0009 to U+000D, with A-Z in lower case. A set has the distinct shingles of `width`
     words; fewer words are one shingle together. Returns doc_id, n_shingles (size of the set), component_id (the smallest
-    doc_id that the row reaches by links, itself included) and class_id (the smallest doc_id with exactly the same set).
-
-    Components need only some of the links. With `count_links`, all pairs of different classes in a bucket are verified,
-    and n_links comes as a last column: to how many other classes the row's class is linked.
+    doc_id that the row reaches by links, itself included), class_id (the smallest doc_id with exactly the same set) and
+    n_links (to how many other classes the row's class is linked).
 
     A null or empty text and one without words has an empty set and is linked with nothing. A null doc_id is linked with
     nothing and has null ids. Rows with equal doc_id are documents of their own that share the id; equal rows are in one
@@ -340,32 +410,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, count
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = checkpoint(_features(docs, width))
     named = feats.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide")))
-    buckets = _buckets(docs.filter("doc_id IS NOT NULL"), width, percent)
-    buckets = checkpoint(checkpoint(buckets).join(classes.select("fp", "id"), "fp").select("sig", "id"))
-    if count_links:
-        members = buckets.distinct().withColumn("component", F.col("id")).join(classes.select("id", "n", "sketch"), "id")
-        links = _verified(docs, classes, checkpoint(_across(checkpoint(members), percent)), width, percent)
-        found = checkpoint(components(links))
-        ends = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).filter("id != to")
-        found = found.join(ends.groupBy("id").agg(F.count_distinct("to").alias("n_links")), "id", "left")
-    else:
-        hubs = checkpoint(buckets.groupBy("sig").agg(F.min("id").alias("hub")))
-        pairs = checkpoint(buckets.join(hubs, "sig").filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-        links = _verified(docs, classes, pairs, width, percent)
-        found = checkpoint(components(links))
-        labelled = buckets.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        labelled = checkpoint(labelled)
-        mixed = checkpoint(labelled.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("sig"))
-        if not mixed.isEmpty():
-            members = labelled.join(mixed, "sig").distinct().join(classes.select("id", "n", "sketch"), "id")
-            more = checkpoint(_across(checkpoint(members), percent).join(pairs, ["a", "b"], "left_anti"))
-            more = _verified(docs, classes, more, width, percent)
-            if not more.isEmpty():
-                found = checkpoint(components(links.union(more)))
-    counts = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    of_class = checkpoint(classes.join(found, "id", "left").select("fp", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), *counts))
-    linked = named.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", *(["n_links"] if count_links else []))
-    none = [F.lit(0).cast("long").alias("n_links")] if count_links else []
-    alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), *none)
+    classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("wide").alias("wide")))
+    known = docs.filter("doc_id IS NOT NULL")
+    total = classes.agg(F.sum("n")).first()[0] or 0  # there are about three signatures for each four shingles
+    bits = max(3, (total * 3 // (4 * RANGE)).bit_length())
+    buckets = checkpoint(_buckets(known, width, percent, bits).distinct())
+
+    # Of buckets with the same members (by two hashes of the whole), one stays.
+    whole = [F.bit_xor(F.xxhash64(F.lit(seed), "fp")).alias(f"_{seed}") for seed in (1, 2)]
+    sized = buckets.join(classes.select("fp", "n"), "fp")
+    alike = sized.groupBy("sig").agg(F.count("*").alias("_n"), *whole, _blocks())
+    chosen = checkpoint(alike.groupBy("_n", "_1", "_2").agg(F.min("sig").alias("sig"), F.first("_blocks").alias("_blocks")).select("sig", "_blocks"))
+    members = buckets.join(chosen, "sig").select(F.col("sig").alias("key"), "_blocks", "fp")
+    groups = components(_hang_together(members.join(classes.select("fp", "n", "wide"), "fp"), percent))
+
+    groups = groups.select(F.col("id").alias("fp"), F.col("component").alias("key")).join(classes.select("fp", "id", "n"), "fp")
+    sizes = groups.groupBy("key").agg(_blocks())
+    tested = checkpoint(_tested(known, checkpoint(groups.join(sizes, "key")), width, percent))
+    found = components(tested.filter("links = 0").select("a", "b"))
+    counts = tested.groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("n_links"))
+
+    found = found.select(F.col("id").alias("fp"), "component").join(classes.select("fp", "id"), "fp").join(counts, "fp", "left")
+    found = checkpoint(found.select("fp", "id", "component", "n_links"))
+    found = found.join(found.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("fp", "component_id", "n_links")
+    of_class = classes.select("fp", F.col("id").alias("class_id")).join(found, "fp", "left")
+    of_class = checkpoint(of_class.select("fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    linked = named.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "n_links")
+    alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
