@@ -3,7 +3,8 @@
 Words (runs of letters and digits, A-Z in lower case) and their prefixes of several lengths are hashed into tables of
 embeddings; the vectors side by side stand for the word. So inflected forms of one stem are near each other, and a word
 is mistaken for another only where whole word and prefixes collide alike. Filters over one, two and three words slide
-over the whole text, each keeps its largest response, and a logistic layer makes the score. Training is plain numpy with Adam: through max pooling the gradient reaches only one window a filter and text.
+over the whole text, each keeps its largest response, and a logistic layer makes the score. Training is plain numpy with
+Adam: through max pooling the gradient reaches only one window a filter and text.
 
 The labelled rows for training are bounded by parameters; scoring covers every word of every text. Scores never see the
 language. Thresholds do: for each language one is calibrated on labelled rows kept from the fit.
@@ -11,7 +12,7 @@ language. Thresholds do: for each language one is calibrated on labelled rows ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ DEPTH = 6  # of one table
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
 BINS = 1 << 14  # of scores, for thresholds
-SPAN = 1 << 17  # words that are convolved at once
+SPAN = 1 << 14  # words that are convolved at once
 
 
 @dataclass
@@ -43,6 +44,10 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
+    def kernel(self) -> np.ndarray:
+        """All filters side by side: a word's vector times this gives its part in each window that it may be in."""
+        return np.concatenate([w for ws in self.filters for w in ws], axis=1)
+
 
 def word_rows(hashes: np.ndarray) -> np.ndarray:
     """For each word its row in each table."""
@@ -54,7 +59,7 @@ def vectors(tables: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def padded(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with padding after each text, so that no window spans two texts; and where each text begins."""
+    """Rows with padding after each text, for windows that reach over its end; and where each text begins."""
     pad = max(WIDTHS) - 1
     begins = np.concatenate(([0], np.cumsum(counts + pad)[:-1]))
     at = np.arange(len(rows)) + np.repeat(np.arange(len(counts)) * pad, counts)
@@ -63,39 +68,73 @@ def padded(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, begins
 
 
-def pooled(model: Model, rows: np.ndarray, begins: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Largest response of each filter in each text (not yet biased), and with `where` its position."""
-    pad, best = max(WIDTHS) - 1, np.full((len(begins), FILTERS * len(WIDTHS)), -np.inf, dtype=np.float32)
-    place = np.zeros(best.shape, dtype=np.int64) if where else None
-    kernel = np.concatenate([w for ws in model.filters for w in ws], axis=1)
+def pooled(parts: Callable[[np.ndarray], np.ndarray], rows: np.ndarray, begins: np.ndarray, counts: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Largest response of each filter in each text (not yet biased), and with `where` its position.
+
+    A window starts at a word, so none sees another text: behind the last word there is padding for the widest. A text
+    without words has the response to padding, 0. `parts` gives the words' parts in windows.
+    """
+    pad, ends = max(WIDTHS) - 1, begins + counts
+    best = np.where(counts[:, None] > 0, -np.inf, 0).astype(np.float32).repeat(FILTERS * len(WIDTHS), axis=1)
+    place = np.repeat(begins[:, None], best.shape[1], axis=1) if where else None
     for low in range(0, len(rows) - pad, SPAN):
         high = min(low + SPAN, len(rows) - pad)
-        ids = rows[low : high + pad]
-        z = vectors(model.tables, ids) @ kernel
-        response, column = [], 0
-        for width in WIDTHS:
+        z = parts(rows[low : high + pad])
+        response = np.full((high - low + 1, best.shape[1]), -np.inf, dtype=np.float32)  # a row more, since slices end there
+        column = 0
+        for k, width in enumerate(WIDTHS):
             r = z[: high - low, column : column + FILTERS]
             for j in range(1, width):
                 r = r + z[j : j + high - low, column + j * FILTERS : column + (j + 1) * FILTERS]
-            response.append(r)
+            response[:-1, k * FILTERS : (k + 1) * FILTERS] = r
             column += width * FILTERS
-        response = np.concatenate(response, axis=1)
-        first = int(np.searchsorted(begins, low, side="right")) - 1
-        last = int(np.searchsorted(begins, high, side="left"))
-        cuts = np.maximum(begins[first:last] - low, 0)
-        most = np.maximum.reduceat(response, cuts, axis=0)
+        here = np.flatnonzero((np.maximum(begins, low) < np.minimum(ends, high)))
+        if not len(here):
+            continue
+        cuts = np.stack((np.maximum(begins[here], low) - low, np.minimum(ends[here], high) - low), axis=1)
+        most = np.maximum.reduceat(response, cuts.ravel(), axis=0)[::2]
         if where:
-            for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], high - low], strict=True)):
+            for i, (a, b) in zip(here, cuts, strict=True):
                 arg = response[a:b].argmax(axis=0)
-                better = most[i] > best[first + i]
-                place[first + i] = np.where(better, low + a + arg, place[first + i])
-        best[first:last] = np.maximum(best[first:last], most)
+                better = response[a:b].max(axis=0) > best[i]
+                place[i] = np.where(better, low + a + arg, place[i])
+        best[here] = np.maximum(best[here], most)
     return best, place
 
 
-def logits(model: Model, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def projected(model: Model) -> list[np.ndarray]:
+    """Each table times its rows of the kernel: a word's part in windows is then a sum of a row from each."""
+    kernel = model.kernel()
+    return [t @ kernel[k * DEPTH : (k + 1) * DEPTH] for k, t in enumerate(model.tables)]
+
+
+def logits(model: Model, rows: np.ndarray, counts: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
+    """`tables`: what projected() gives. All sums are taken place by place in one order, so that a text's logit is the
+    same to the last bit whatever texts are beside it."""
+    tables = tables or projected(model)
+
+    def parts(ids: np.ndarray) -> np.ndarray:
+        z = tables[0][ids[:, 0]]
+        for k in range(1, TABLES):
+            z += tables[k][ids[:, k]]
+        return z
+
     rows, begins = padded(rows, counts)
-    return np.maximum(pooled(model, rows, begins)[0] + model.bias, 0) @ model.out + model.offset
+    hidden = np.maximum(pooled(parts, rows, begins, counts)[0] + model.bias, 0).astype(np.float64)
+    out = np.full(len(counts), model.offset)
+    for k, weight in enumerate(model.out.tolist()):
+        out += hidden[:, k] * weight
+    return out
+
+
+def scores(model: Model, texts: pa.Array, tables: list[np.ndarray] | None = None) -> np.ndarray:
+    """Scores from 0 to 1 of whole texts."""
+    tables, out = tables or projected(model), np.zeros(len(texts))
+    for low, high in pieces(texts):
+        h, counts = words(texts.slice(low, high - low), PUNCTUATION, PREFIXES)
+        x = logits(model, word_rows(h), counts, tables)
+        out[low:high] = 1 / (1 + np.exp(-np.clip(model.scale * x + model.shift, -30, 30)))
+    return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 64, decay: float = 1e-4, drop: float = 0.3, seed: int = 1) -> Model:
@@ -118,7 +157,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs:
             counts = np.array([len(rows[i]) for i in chosen])
             ids, begins = padded(np.concatenate([rows[i] for i in chosen]), counts)
             ids[rng.random(len(ids)) < drop] = 0
-            best, place = pooled(model, ids, begins, where=True)
+            kernel = model.kernel()
+            best, place = pooled(lambda i, kernel=kernel: vectors(tables, i) @ kernel, ids, begins, counts, where=True)
             hidden = np.maximum(best + model.bias, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ model.out + dense[-1][0], -30, 30)))
             g = ((p - labels[chosen]) * weights[chosen] / len(chosen)).astype(np.float32)
@@ -197,26 +237,33 @@ def usable(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars: int = 8000, seed: int = 1) -> tuple[Model, dict[str, float]]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars: int = 8_000_000, seed: int = 1) -> tuple[Model, dict[str, float]]:
     """The model, from at most per_class labelled rows of each class in the usable fold, and the thresholds by language.
 
-    The rows of the fit are the first by a hash of doc_id among those of at most `most_chars` characters, so the sample is the
-    same wherever the rows lie, and at most 2 * per_class * most_chars characters reach the driver, as word hashes. A
-    doc_id with several labels is toxic if one says so. A fifth of the sample, by another hash, is kept to calibrate the
+    The rows of the fit are the first by a hash of doc_id, whole texts of any length, as long as those of a class have at most
+    class_chars characters together (a longer text alone is passed over). So the sample is the same wherever the rows lie,
+    and what reaches the driver, as word hashes, is bounded. A doc_id with several labels is toxic if one says so. A fifth of the sample, by another hash, is kept to calibrate the
     score. Thresholds come from all usable labelled rows but those of the fit, whole texts of any length: each is scored
     where it lies, and only counts by language, class and step of the score reach the driver.
     """
     known = checkpoint(labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")))
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("_n")).filter(F.col("_n").between(1, most_chars)).select("doc_id").distinct()
-    pool = checkpoint(known.join(short, "doc_id"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("_n")).filter(F.col("_n") > 0).groupBy("doc_id").agg(F.sum("_n").alias("_n"))
+    pool = checkpoint(known.join(sized, "doc_id"))
     share = {r["_toxic"]: r["n"] for r in pool.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
         return None, {}
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    sample = pool.filter("_toxic = 0").orderBy(order, "doc_id").limit(per_class).union(pool.filter("_toxic = 1").orderBy(order, "doc_id").limit(per_class))
-    sample = checkpoint(sample)  # 2 * per_class rows at most, which bounds the broadcast below
+    order, sample = F.xxhash64(F.lit(seed), "doc_id"), []
+    for toxic in (0, 1):
+        room = class_chars
+        for r in pool.filter(F.col("_toxic") == toxic).orderBy(order, "doc_id").limit(per_class).collect():
+            if r["_n"] <= room:
+                room -= r["_n"]
+                sample.append((r["doc_id"], toxic))
+    if len({toxic for _, toxic in sample}) < 2:
+        return None, {}
+    sample = docs.sparkSession.createDataFrame(sample, "doc_id long, _toxic int")  # 2 * per_class rows at most, which bounds the broadcast below
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    text = text.filter(F.length("text").between(1, most_chars)).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "_toxic")
+    text = text.filter(F.length("text") > 0).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "_toxic")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars:
     t = y[fitted]
     balanced = np.where(t > 0, len(t) / 2 / t.sum(), len(t) / 2 / (1 - t).sum()).astype(np.float32)
     model = fit([rows[i] for i in fitted], t, balanced, seed=seed)
-    x = logits(model, np.concatenate([rows[i] for i in held]), np.array([len(rows[i]) for i in held])).astype(np.float64)
+    x = logits(model, np.concatenate([rows[i] for i in held]), np.array([len(rows[i]) for i in held]))
     calibrate(model, x, y[held], prior[held])
     ids = np.array([r["doc_id"] for r in found], dtype=np.int64)
     return model, thresholds(_score_counts(docs, known, model, ids[fitted] if len(fitted) < len(y) else ids[:0]))
@@ -249,14 +296,11 @@ def _score_counts(docs: DataFrame, known: DataFrame, model: Model, fitted: np.nd
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value
+        tables = projected(m)
         for batch in batches:
             batch = batch.filter(pa.array(passes(bloom.value, batch.column(0).to_numpy())))
-            ids, text, at = batch.column(0).to_numpy(), batch.column(2), np.zeros(batch.num_rows, dtype=np.int32)
-            for low, high in pieces(text):
-                h, counts = words(text.slice(low, high - low), PUNCTUATION, PREFIXES)
-                x = logits(m, word_rows(h), counts).astype(np.float64)
-                at[low:high] = np.minimum(BINS / (1 + np.exp(-np.clip(m.scale * x + m.shift, -30, 30))), BINS - 1)
-            at[np.isin(ids, seen)] = -1
+            at = np.minimum(BINS * scores(m, batch.column(2), tables), BINS - 1).astype(np.int32)
+            at[np.isin(batch.column(0).to_numpy(), seen)] = -1
             yield pa.record_batch({"doc_id": batch.column(0), "lang": batch.column(1), "at": pa.array(at)})
 
     scored = slim.mapInArrow(each, "doc_id long, lang string, at int").join(known, "doc_id")
@@ -277,12 +321,9 @@ def score(docs: DataFrame, model: Model | None, limits: dict[str, float], column
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        tables = projected(m) if m else None
         for batch in batches:
-            text, out = batch.column(n), np.zeros(batch.num_rows)
-            for low, high in pieces(text) if m else ():
-                h, counts = words(text.slice(low, high - low), PUNCTUATION, PREFIXES)
-                x = logits(m, word_rows(h), counts).astype(np.float64)
-                out[low:high] = 1 / (1 + np.exp(-np.clip(m.scale * x + m.shift, -30, 30)))
+            out = scores(m, batch.column(n), tables) if m else np.zeros(batch.num_rows)
             limit = np.array([limits.get(x, 0.5) for x in batch.column(n + 1).to_pylist()], dtype=np.float64)
             yield pa.record_batch([*batch.columns[:n], pa.array(out), pa.array(limit), pa.array(out >= limit)], names=["doc_id", *columns, "score", "lang_threshold", "flagged"])
 
@@ -310,15 +351,11 @@ def accepted(docs: DataFrame, model: Model | None, limits: dict[str, float] | No
     shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang") if limits else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = projected(shared.value)
         for batch in batches:
             most = np.full(batch.num_rows, limit)
             if limits:
                 most = np.array([limits.get(x or "", limit) for x in batch.column(lang).to_pylist()], dtype=np.float64)
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for low, high in pieces(batch.column(at)):
-                h, counts = words(batch.column(at).slice(low, high - low), PUNCTUATION, PREFIXES)
-                x = logits(shared.value, word_rows(h), counts).astype(np.float64)
-                keep[low:high] = 1 / (1 + np.exp(-np.clip(shared.value.scale * x + shared.value.shift, -30, 30))) < most[low:high]
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(scores(shared.value, batch.column(at), tables) < most))
 
     return docs.mapInArrow(each, docs.schema)

@@ -73,6 +73,27 @@ def test_long_texts_are_scored_whole(spark, monkeypatch):
     assert (np.array(x) > 0).tolist() == [True, False, False, True]
 
 
+def test_scores_do_not_depend_on_neighbours(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(["ta", "ri", "no", "mel"]) for _ in range(rng.integers(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.integers(0, 60))) for _ in range(200)] + ["", None, "aa", "aa bb", "aa bb " * 20_000]
+    rows = [toxicity.word_rows(toxicity.words(pa.array([t]), toxicity.PUNCTUATION, toxicity.PREFIXES)[0]) for t in texts[:100]]
+    labels = np.array([int("melmel" in t) for t in texts[:100]], dtype=np.float32)
+    model = toxicity.fit([r.reshape(-1, toxicity.TABLES) for r in rows], labels, np.ones(100, np.float32), epochs=2)
+    alone = [toxicity.scores(model, pa.array([t], pa.string()))[0] for t in texts]
+    for _ in range(6):
+        order = rng.permutation(len(texts))
+        for part in np.array_split(order, rng.integers(1, 40)):
+            assert toxicity.scores(model, pa.array([texts[i] for i in part], pa.string())).tolist() == [alone[i] for i in part]
+    assert alone[200] == alone[201]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for n in (1, 7):
+        assert {r["doc_id"]: r["score"] for r in toxicity.score(docs.repartition(n), model, {}).collect()} == dict(enumerate(alone))
+
+
 def edit_distance_within(item, text):
     """Least distance of item to any part of text, row by row."""
     row = [0] * (len(text) + 1)
