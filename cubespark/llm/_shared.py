@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,5 +29,32 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body has it and in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    An array that grows by one is copied each time, so the sums are made in blocks of about the root of the length, and
+    those of whole blocks likewise: n numbers cost n^1.5 steps, not n^2.
+    """
+    kind = "struct<at:bigint,sums:array<bigint>>"
+
+    def plain(numbers: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().alias("sums")).cast(kind)
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")).cast(kind)
+        return F.aggregate(numbers, none, step)
+
+    def whole(numbers: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers)))).cast("int")
+        cut = lambda at: plain(F.slice(numbers, at * size + 1, size))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int")), cut)
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, plain(F.transform(b, lambda x: x["at"]))["sums"], lambda x, before: F.transform(x["sums"], lambda y: y + before))))
+
+    return let(lengths, lambda n: F.when(F.size(n) > 64, whole(n)).otherwise(plain(n)["sums"]))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,10 +2,14 @@
 
 Validated values (card numbers by their check digit, dates by the calendar, addresses by their octets, telephone numbers
 and mail addresses by their form) are replaced by other values of the same format. A value becomes an array of small
-numbers, each with its own radix: digits 10, letters 26, octets 256, a day of the 400-year calendar cycle 189 x 773. The
-array is cut in halves, and in each round one half is added, place by place and modulo its radix, to a keyed hash of the
-other. That is a permutation of the format's values, so different values stay different and equal ones stay linked across
-documents, and whoever has the key can undo it.
+numbers, each with its own radix: digits 10, letters 26, octets 256, days as below. The array is cut in halves, and in
+each round one half is added, place by place and modulo its radix, to a keyed hash of the other. That is a permutation
+of the format's values, so different values stay different and equal ones stay linked across documents and spellings
+(separators, letter case, formats of dates), and whoever has the key can undo it.
+
+A date like 12/14/2001 is read as month/day only since no month is 14, so its pseudonym must have such a day too. The
+days of the 400-year cycle are therefore permuted in two parts, those up to the 12th of a month (4800 months x 12) and
+those after it (9 x 9833), whatever their format: one day has one pseudonym in all formats.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import let
+
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 NUMBERS = (
@@ -23,15 +29,11 @@ NUMBERS = (
     ("date", r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-])"),
 )
 KINDS = ("email", *(k for k, _ in NUMBERS))
-FIRST_DAY = "1800-01-01"  # the 400 years from here have 146,097 = 189 x 773 days
+FIRST_DAY = "1800-01-01"  # of 400 years
+LATE_DAYS = (9, 9833)  # their days after the 12th of a month are 88,497
 DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def feistel(values: Column, radices: Column, tweak: Column, key: str, undo: bool = False) -> Column:
     """Permute an array of numbers below their radices. `tweak` keeps formats apart."""
     half = F.floor(F.size(values) / 2).cast("int")
@@ -42,7 +44,7 @@ def feistel(values: Column, radices: Column, tweak: Column, key: str, undo: bool
     def added(mine: Column, other: Column, radix: Column, r: Column) -> Column:
         said = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")).cast("binary"), 256)
         draw = lambda h, i: F.conv(F.substring(F.sha2(F.concat_ws("|", h, i.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("bigint")
-        drawn = _let(said, lambda h: F.transform(mine, lambda x, i: -draw(h, i) if undo else draw(h, i)))
+        drawn = let(said, lambda h: F.transform(mine, lambda x, i: -draw(h, i) if undo else draw(h, i)))
         return F.zip_with(F.zip_with(mine, drawn, lambda x, d: x + d), radix, lambda x, m: F.pmod(x, m.cast("bigint")))
 
     def step(s: Column, r: Column) -> Column:
@@ -110,13 +112,54 @@ def kind_of(token: Column) -> Column:
     )
 
 
+def _first() -> Column:
+    return F.lit(FIRST_DAY).cast("date")
+
+
+def _month(n: Column) -> Column:
+    """The first of the n-th month."""
+    return F.add_months(_first(), n.cast("int"))
+
+
+def _late_before(n: Column) -> Column:
+    """How many days after the 12th of a month there are before the n-th month."""
+    return F.datediff(_month(n), _first()) - 12 * n
+
+
+def day_numbers(day: Column) -> Column:
+    """A day as two numbers: month and day of it, or the place among the days after the 12th, in two digits."""
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    place = F.datediff(day, _first()) - 12 * (month + 1)
+    late = F.array(F.floor(place / LATE_DAYS[1]), place % LATE_DAYS[1])
+    return F.when(F.dayofmonth(day) > 12, late).otherwise(F.array(month, F.dayofmonth(day) - 1)).cast("array<bigint>")
+
+
+def numbered_day(n: Column, late: Column) -> Column:
+    a, b = F.try_element_at(n, F.lit(1)), F.try_element_at(n, F.lit(2))
+
+    def after(place: Column) -> Column:
+        near = F.floor(place * 4800 / (LATE_DAYS[0] * LATE_DAYS[1]))  # months have 16 to 19 such days: one off at most
+        month = F.when(_late_before(near + 1) <= place, near + 1).when(_late_before(near) <= place, near).otherwise(near - 1)
+        return let(month, lambda m: F.date_add(_month(m), (12 + place - _late_before(m)).cast("int")))
+
+    return F.when(late, let(a * LATE_DAYS[1] + b, after)).otherwise(F.date_add(_month(a), b.cast("int")))
+
+
+def canonical(token: Column, kind: Column) -> Column:
+    """The value of a token in one spelling: a date as year-month-day, mail addresses in lower case, numbers without separators."""
+    date = F.date_format(F.coalesce(*[F.try_to_timestamp(token, F.lit(f)) for f in DATES]), DATES[0])
+    octets = F.array_join(F.transform(F.split(token, r"\."), lambda o: o.try_cast("bigint").cast("string")), ".")
+    return F.when(kind == "date", date).when(kind == "email", F.lower(token)).when(kind == "ip", octets).otherwise(F.regexp_replace(token, "[^0-9+]", ""))
+
+
 def pseudonym(token: Column, kind: Column, key: str, undo: bool = False) -> Column:
     """The value's pseudonym, or with `undo` the value of a pseudonym. A null kind leaves it as it is.
 
     There is one permutation for all kinds; what differs is which numbers go in and how they are written.
     """
     dates = [F.try_to_timestamp(token, F.lit(f)) for f in DATES]
-    day = F.datediff(F.coalesce(*dates).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
+    day = F.coalesce(*dates).cast("date")
+    late = F.dayofmonth(day) > 12
     country = F.regexp_extract(token, r"^\+\d{1,3}(?=[ .(-])|^", 0)  # stays as it is, like a mail's domain
     before = F.when(kind == "phone", country).otherwise("")
     # A card's last digit follows from the others.
@@ -124,17 +167,17 @@ def pseudonym(token: Column, kind: Column, key: str, undo: bool = False) -> Colu
     middle = F.substring(token, F.length(before) + 1, end - F.length(before))
     chars = F.filter(_characters(middle), lambda c: c.rlike("[0-9A-Za-z]"))
     octets = F.transform(F.split(token, r"\."), lambda o: o.try_cast("bigint"))
-    values = F.when(kind == "ip", octets).when(kind == "date", F.array(F.floor(day / 773), day % 773)).otherwise(F.transform(chars, lambda c: (F.ascii(c) - _low(c)).cast("bigint")))
-    radices = F.when(kind == "ip", F.array_repeat(F.lit(256), 4)).when(kind == "date", F.array(F.lit(189), F.lit(773))).otherwise(F.transform(chars, _radix))
-    tweak = F.when(kind == "card", F.concat(F.lit("card"), F.length(token).cast("string"))).otherwise(kind)
+    values = F.when(kind == "ip", octets).when(kind == "date", day_numbers(day)).otherwise(F.transform(chars, lambda c: (F.ascii(c) - _low(c)).cast("bigint")))
+    radices = F.when(kind == "ip", F.array_repeat(F.lit(256), 4)).when(kind == "date", F.when(late, F.array(*map(F.lit, LATE_DAYS))).otherwise(F.array(F.lit(4800), F.lit(12)))).otherwise(F.transform(chars, _radix))
+    tweak = F.when(kind == "card", F.concat(F.lit("card"), F.size(chars).cast("string"))).otherwise(kind)
 
     def written(n: Column) -> Column:
-        there = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.try_element_at(n, F.lit(1)) * 773 + F.try_element_at(n, F.lit(2))).cast("int"))
+        there = numbered_day(n, late)
         date = F.coalesce(*[F.when(d.isNotNull(), F.date_format(there, f)) for d, f in zip(dates, DATES, strict=True)])
-        text = _let(_put_back(middle, n), lambda m: F.concat(before, m, F.when(kind == "card", _check_digit(_digits(m)).cast("string")).otherwise(F.substring(token, end + 1, F.length(token)))))
+        text = let(_put_back(middle, n), lambda m: F.concat(before, m, F.when(kind == "card", _check_digit(_digits(m)).cast("string")).otherwise(F.substring(token, end + 1, F.length(token)))))
         return F.when(kind == "ip", F.array_join(n.cast("array<string>"), ".")).when(kind == "date", date).otherwise(text)
 
-    return F.when(kind.isNull(), token).otherwise(_let(feistel(values, radices, tweak, key, undo), written))
+    return F.when(kind.isNull(), token).otherwise(let(feistel(values, radices, tweak, key, undo), written))
 
 
 def _is(kind: str):
@@ -145,7 +188,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replace personal data in whole texts by pseudonyms of the same format.
 
     Returns doc_id, the number of replaced values of each kind (n_email, n_ip, n_card, n_phone, n_ssn, n_date), links (the
-    pseudonyms as kind:value, in order, equal across documents for equal values) and the new text.
+    pseudonyms in one spelling as kind:value, in order, equal for equal values however they are written) and the new text.
 
     Values that fail their check (a wrong check digit, no such day, an octet over 255) stay as they are. Dates are read as
     year-month-day, day/month/year, else month/day/year, or day.month.year, from 1800 to 2199. A null text stays null,
@@ -170,6 +213,6 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     return rows.select(
         "doc_id",
         *[F.size(F.filter("_new", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.transform(held, lambda x: F.concat_ws(":", x["k"], x["p"])).alias("links"),
+        F.transform(held, lambda x: F.concat_ws(":", x["k"], canonical(x["p"], x["k"]))).alias("links"),
         F.when(F.size("_found") > 0, new).otherwise(text).alias("text"),
     )
