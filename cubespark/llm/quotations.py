@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, checkpoint
+from ._shared import SPACES, checkpoint, let
 
 PREFIX = r"^(?:[ \t]*>)+"
 #: A line that announces a quote and goes with it.
@@ -30,24 +30,26 @@ def parsed(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of lines with one level, in order; an empty line ends a run."""
-    kind = "struct<open:boolean,found:array<struct<level:int,body:string>>>"
-    none = F.struct(F.lit(False).alias("open"), F.array().alias("found")).cast(kind)
+    """Runs of lines with one level, in order: level, body and its lines as parts; an empty line ends a run."""
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s["found"], F.lit(-1))
-        joins = s["open"] & (last["level"] == x["level"])
-        longer = F.concat(F.slice(s["found"], 1, F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", last["body"], x["body"]).alias("body"))))
-        more = F.concat(s["found"], F.array(F.struct(x["level"].alias("level"), x["body"].alias("body"))))
-        found = F.when(x["body"] == "", s["found"]).when(joins, longer).otherwise(more)
-        return F.struct((x["body"] != "").alias("open"), found.alias("found")).cast(kind)
+    def begins(x: Column, y: Column, i: Column) -> Column:
+        before = F.get(x, i - 1)
+        return (y["body"] != "") & F.coalesce((before["body"] == "") | (before["level"] != y["level"]), F.lit(True))
 
-    return F.aggregate(lines, none, step, lambda s: s["found"])
+    def run(x: Column, starts: Column, s: Column, k: Column) -> Column:
+        own = F.filter(F.slice(x, s + 1, F.coalesce(F.get(starts, k + 1), F.size(x)) - s), lambda y: y["body"] != "")
+        return let(F.transform(own, lambda y: y["body"]), lambda b: F.struct(F.get(x, s)["level"].alias("level"), F.array_join(b, " ").alias("body"), b.alias("parts")))
+
+    def all_runs(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda y, i: F.when(begins(x, y, i), i)), lambda s: s.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda s, k: run(x, at, s, k)))
+
+    return let(lines, all_runs)
 
 
 def unquoted(lines: Column) -> Column:
     """The text at level 0, without lines that announce a quote, and without empty lines at its ends."""
-    with_next = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.try_element_at(lines, i + 2)["level"], F.lit(0)).alias("next")))
+    with_next = let(lines, lambda a: F.transform(a, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(a, i + 1)["level"], F.lit(0)).alias("next"))))
     own = F.filter(with_next, lambda y: (y["x"]["level"] == 0) & ~((y["next"] > 0) & y["x"]["raw"].rlike(ATTRIBUTION)))
     return F.trim(F.array_join(F.transform(own, lambda y: y["x"]["raw"]), "\n"), F.lit(SPACES))
 
@@ -84,9 +86,8 @@ def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
     said = known.select("conv_id", "turn", F.explode(F.transform(sayings, _hash)).alias("k"))
     index = said.groupBy("conv_id", F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.min("turn").alias("origin"))
 
-    asked = known.filter(F.size("_quoted") > 0).select("conv_id", "turn", "_lines", F.posexplode("_quoted").alias("at", "p"))
-    split_up = F.filter(F.transform(F.filter("_lines", lambda x: x["level"] == F.col("p.level")), lambda x: x["body"]), lambda b: (b != "") & F.col("p.body").contains(b))
-    tries = F.array_distinct(F.concat(F.array(F.col("p.body")), F.filter(split_up, long_enough)))
+    asked = known.filter(F.size("_quoted") > 0).select("conv_id", "turn", F.posexplode("_quoted").alias("at", "p"))
+    tries = F.array_distinct(F.concat(F.array(F.col("p.body")), F.filter(F.col("p.parts"), long_enough)))
     asked = asked.select("conv_id", "turn", "at", F.col("p.level").alias("level"), F.posexplode(F.transform(tries, _hash)).alias("rank", "k"))
     asked = asked.select("conv_id", "turn", "at", "level", "rank", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
     hits = asked.join(index, ["conv_id", "h", "g"]).filter("origin < turn")
