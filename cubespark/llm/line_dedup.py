@@ -28,30 +28,31 @@ def keep_runs(drops: Column, n_lines: Column) -> Column:
 
 
 def bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """Rows (_row, doc_id, _drops): sorted positions of the lines that `docs` loses. Documents that lose none have no row.
+    """Rows (doc_id, _r, _s, _drops): sorted positions of the lines that `docs` loses. Documents that lose none have no row.
 
-    `docs` must have a column _row that tells apart rows with equal doc_id.
+    `docs` must have two numbers _r and _s that with doc_id tell its rows apart.
     """
+    row = ["doc_id", "_r", "_s"]
     key = F.trim(F.col("_line"), F.lit(SPACES))
     slim = (
-        docs.select("_row", "doc_id", F.posexplode(lines(F.col("text"))).alias("_pos", "_line"))
+        docs.select(*row, F.posexplode(lines(F.col("text"))).alias("_pos", "_line"))
         .filter(F.length(F.col("_line")) >= least_chars)
         .withColumn("_key", key)
         .filter(F.length("_key") >= least_chars)
-        .select("_row", "doc_id", "_pos", ascii_lower(F.col("_key")).alias("_key"))
+        .select(*row, "_pos", ascii_lower(F.col("_key")).alias("_key"))
         # Two hashes with different seeds: 128 bits, so that no collision is to be expected at 10^13 lines.
-        .select("_row", "doc_id", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(977), "_key").alias("_g"))
+        .select(*row, "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(977), "_key").alias("_g"))
     )
     slim = checkpoint(slim)
-    ranges = [F.col("_h"), F.col("_g"), F.desc("doc_id"), F.desc("_row")]
+    ranges = [F.col("_h"), F.col("_g"), *map(F.desc, row)]
     ranged = slim.repartitionByRange(*ranges).sortWithinPartitions(*ranges, "_pos")
     # The ranges hold all of (line, document), so the first occurrences need no exchange. Then one row a line leaves each
     # range that it fills, and runs that cross a border meet.
-    first = ranged.groupBy("_h", "_g", "doc_id", "_row").agg(F.min("_pos").alias("_first"))
-    held = first.groupBy("_h", "_g").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("_docs"))
-    held = checkpoint(held.filter(F.col("_docs") >= least_docs).select("_h", "_g", F.col("_keep._row").alias("_keep")))
-    lost = slim.join(held, ["_h", "_g"]).filter(F.col("_row") != F.col("_keep"))
-    return lost.groupBy("_row", "doc_id").agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))
+    first = ranged.groupBy("_h", "_g", *row).agg(F.min("_pos").alias("_first"))
+    held = first.groupBy("_h", "_g").agg(F.max(F.struct(*row)).alias("_keep"), F.count("*").alias("_docs"))
+    held = checkpoint(held.filter(F.col("_docs") >= least_docs).select("_h", "_g", "_keep"))
+    lost = slim.join(held, ["_h", "_g"]).filter(~F.struct(*row).eqNullSafe(F.col("_keep")))
+    return lost.groupBy(*row).agg(F.sort_array(F.collect_set("_pos")).alias("_drops"))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
@@ -63,14 +64,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     n_lines (before), n_dropped and keep_runs, the run-length bitmap of kept lines.
 
     A null or empty text is one empty line. Rows with equal doc_id count as documents of their own; among them the one
-    with the larger hash of its text stays, and fully equal rows lose their lines together or keep them together. A
+    with the larger hashes of its text stays, and fully equal rows lose their lines together or keep them together. A
     null doc_id is below all others. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
-    lost = bitmaps(base, least_chars, least_docs).withColumnRenamed("doc_id", "_id")
+    base = docs.select("doc_id", text.alias("text")).withColumns({"_r": F.xxhash64("text"), "_s": F.xxhash64(F.lit(977), "text")})
+    lost = bitmaps(base, least_chars, least_docs).withColumnsRenamed({"doc_id": "_id", "_r": "_r2", "_s": "_s2"})
     # Rows of the slim side are few against the text; a shuffled hash join spares the sort of the texts.
-    joined = base.join(lost.hint("shuffle_hash"), "_row", "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_r2")) & (F.col("_s") == F.col("_s2"))
+    joined = base.join(lost.hint("shuffle_hash"), same, "left")
     split = joined.withColumn("_lines", lines(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long"))
     drops = F.coalesce("_drops", F.array().cast("array<int>"))
     runs = keep_runs(drops, F.size("_lines"))
