@@ -17,10 +17,11 @@ from ._words import U, mix64
 CHUNK = 1 << 16  # bits
 #: Bits of the largest filter: 32 MB. Past about a 16th as many values it passes more and more; results stay exact.
 MOST_BITS = 1 << 28
+BITS_A_ROW = 16
 
 
 def bits_for(values: int, most: int = MOST_BITS) -> int:
-    return min(most, max(CHUNK, 1 << int(16 * max(1, values) - 1).bit_length()))
+    return min(most, max(CHUNK, 1 << int(BITS_A_ROW * max(1, values) - 1).bit_length()))
 
 
 def positions(hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bloom import bits_for, build, passes
+from ._bloom import BITS_A_ROW, MOST_BITS, bits_for, build, passes
 from ._shared import checkpoint
 
 _TEXT = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -36,19 +37,25 @@ def exact_dedup(docs: DataFrame, most_bits: int | None = None) -> DataFrame:
     A null text counts as empty. A null doc_id is below all others. Rows with equal text and equal largest doc_id are
     all marked kept: nothing tells them apart. Other columns are ignored. An empty table gives no rows.
 
-    most_bits bounds the filter that is broadcast (default 32 MB). It fits 16 million rows with hardly a false hit; with
-    many more rows more of them shuffle, still as slim rows, and results are the same.
+    most_bits bounds a filter, which is broadcast (default 32 MB, for 16 million rows). Where the rows need more, their
+    hashes are taken in that many parts, each with a filter of its own and a pass over its slim rows; so at any size
+    hardly a row shuffles that is not repeated. With many billions of rows a larger filter means fewer passes.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = checkpoint(slim.mapInArrow(_hashed, "doc_id long, sha binary, short long"))
-    bits = bits_for(rows.count(), **({"most": most_bits} if most_bits else {}))
-    bloom = docs.sparkSession.sparkContext.broadcast(build(rows, "short", bits, repeated=True))
+    context, total, most = docs.sparkSession.sparkContext, rows.count(), most_bits or MOST_BITS
+    rounds = max(1, -(-total * BITS_A_ROW // most))
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "sha": batch.column(1), "again": pa.array(passes(bloom.value, batch.column(2).to_numpy()))})
+    def looked_up(part: DataFrame) -> DataFrame:
+        bloom = context.broadcast(build(part, "short", bits_for(-(-total // rounds), most), repeated=True))
 
-    marked = rows.mapInArrow(looked_up, "doc_id long, sha binary, again boolean")
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch({"doc_id": batch.column(0), "sha": batch.column(1), "again": pa.array(passes(bloom.value, batch.column(2).to_numpy()))})
+
+        return part.mapInArrow(each, "doc_id long, sha binary, again boolean")
+
+    marked = reduce(DataFrame.unionByName, (looked_up(rows.filter(F.pmod("short", F.lit(rounds)) == r) if rounds > 1 else rows) for r in range(rounds)))
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
     once = marked.filter(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     maybe = marked.filter("again").select("doc_id", "sha")

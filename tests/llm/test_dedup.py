@@ -37,6 +37,13 @@ def test_saturated_filter_gives_the_same(spark):
     assert key(exact_dedup(docs)) == key(exact_dedup(docs, most_bits=_bloom.CHUNK))
 
 
+def test_filters_by_parts_of_the_hashes(spark):
+    docs = frame(spark, [f"t{i if i % 7 else i // 14}" for i in range(12_000)])
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert 12_000 * _bloom.BITS_A_ROW > 2 * _bloom.CHUNK
+    assert key(exact_dedup(docs)) == key(exact_dedup(docs, most_bits=_bloom.CHUNK))
+
+
 def test_bloom_has_no_false_negatives(spark):
     values = spark.range(0, 3000).selectExpr("xxhash64(id) AS h")
     bloom = _bloom.build(values, "h", _bloom.bits_for(3000))
@@ -78,6 +85,15 @@ def test_keep_runs_are_the_bitmap(spark):
     assert [tuple(x) for x in rows[5]["keep_runs"]] == [(0, 4)]
 
 
+def test_rows_of_lines_are_known_by_id_and_text(spark):
+    """Rows of one id with other texts, and one text under several ids, lose their own lines alone."""
+    line = "a line of this test that is certainly long enough"
+    rows = [(i // 2, f"{line}\nown {i % 2}" if i % 2 else f"x {i}\n{line}") for i in range(12)] + [(9, line), (9, line), (None, line)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 40, 5).collect())
+    want = [(str(i // 2), f"own {i % 2}" if i % 2 else f"x {i}") for i in range(12)] + [("9", line), ("9", line), ("None", "")]
+    assert got == sorted(want)
+
+
 def brute_sets(texts):
     out = []
     for t in texts:
@@ -186,3 +202,18 @@ def test_counts_are_whole(spark):
     texts = ["same text of more than five words here"] * 50 + ["other text of more than five words here"] * 3
     got = ngram_jaccard.jaccard_components(frame(spark, texts)).collect()
     assert Counter(r["component_id"] for r in got) == {0: 50, 50: 3}
+
+
+def test_rows_that_share_an_id(spark):
+    """Documents under one id are documents of their own, and repeated rows are copies of each other."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, a + " tail"), (8, b + " tail"), (9, c), (9, c), (9, c), (10, None), (10, None), (None, a), (11, "")]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, r string, stays long")
+    got = sorted((str(r["doc_id"]), r["n_links"], str(r["component_id"])) for r in ngram_jaccard.jaccard_components(docs).collect())
+    want = [("7", 1, "3"), ("7", 1, "7"), ("7", 1, "7"), ("3", 1, "3"), ("8", 1, "7")] + [("9", 0, "9")] * 3 + [("10", 0, "10")] * 2 + [("None", 0, "None"), ("11", 0, "11")]
+    assert got == sorted(want)
+    left = ngram_jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    kept = left.collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])[-6:]) for r in kept) == sorted([("3", "9 tail"), ("7", b[-6:]), ("9", c[-6:]), ("10", "None"), ("10", "None"), ("None", a[-6:]), ("11", "")])
+    assert len({r["stays"] for r in kept}) == len(kept) and ngram_jaccard.one_of_each(docs.limit(0)).count() == 0
