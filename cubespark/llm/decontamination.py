@@ -7,13 +7,17 @@ verified with Myers' bit-parallel edit distance, in which Python's long integers
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import ahocorasick
+
 #: Items go into one automaton until they have so many characters; more items make further passes over the texts.
 BLOCK_CHARS = 8_000_000
 
@@ -58,6 +62,8 @@ def best_match(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int
 
 
 def compiled(items: list[tuple[int, str]], rate: float) -> tuple[ahocorasick.Automaton, list]:
+    import ahocorasick
+
     held, automaton, places = [], ahocorasick.Automaton(), {}
     for k, (item_id, text) in enumerate(items):
         edits = int(len(text) * rate)
@@ -70,6 +76,17 @@ def compiled(items: list[tuple[int, str]], rate: float) -> tuple[ahocorasick.Aut
     return automaton, held
 
 
+_BUILT: dict[str, tuple[ahocorasick.Automaton, list]] = {}
+
+
+def built(key: str, items: list[tuple[int, str]], rate: float) -> tuple[ahocorasick.Automaton, list]:
+    """compiled(), once for all tasks that a worker process runs on a block; it holds one block."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = compiled(items, rate)
+    return _BUILT[key]
+
+
 def search(automaton: ahocorasick.Automaton, held: list, text: str) -> dict[int, tuple[int, int]]:
     """Of each item that occurs in a normalised text: the least distance and where that occurrence ends."""
     found: dict[int, tuple[int, int]] = {}
@@ -127,10 +144,10 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> Data
         schema = schema.add(name, kind)
     out = None
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton, held = compiled(shared.value, rate)
+        def each(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            automaton, held = built(key, shared.value, rate)
             size = {item_id: len(item) for item_id, item, _, _ in held}
             for batch in batches:
                 rows = []
@@ -150,10 +167,10 @@ def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> Dat
     """The rows of `docs`, whole and in the same columns, in which no item occurs as contamination() has it."""
     at = docs.columns.index("text")
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton, held = compiled(shared.value, rate)
+        def each(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            automaton, held = built(key, shared.value, rate)
             for batch in batches:
                 texts = (normal(t.as_py()) for t in batch.column(at))
                 yield batch.filter(pa.array([not (t and search(automaton, held, t)) for t in texts], pa.bool_()))
