@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import checkpoint
@@ -20,6 +20,11 @@ from ._shared import checkpoint
 PARTS, ROUNDS = 32, 5
 
 
+def _measured() -> list[Column]:
+    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words.alias("n_tokens")]
+
+
 def _grid(shares: DataFrame, alphas: list[float]) -> list[dict]:
     """For each exponent: the sum of share^a, the entropy of the normalised weights, the most that a source is repeated."""
     tried = shares.select("_p", F.explode(F.array(*map(F.lit, alphas))).alias("a"))
@@ -63,11 +68,10 @@ def mix(docs: DataFrame, repetition: float = 4.0, entropy: float | None = None,
     copies differ by one at most, and its tokens taken are within its part of the budget by less than one document.
 
     A null source is the source ''. A text without words (null, empty) has no tokens and is taken once. A document
-    longer than what is left of its source's budget ends that source's last pass. Equal rows are taken one by one.
-    Other columns are ignored, whatever their names. An empty table gives no rows.
+    longer than what is left of its source's budget ends that source's last pass. Rows with equal doc_id,
+    source and n_tokens are taken alike, together. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    base = checkpoint(docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words.alias("n_tokens")))
+    base = checkpoint(docs.select("doc_id", *_measured()))
     sources = base.groupBy("source").agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_n"))
     total = base.agg(F.sum("n_tokens")).first()[0] or 0
     sources = checkpoint(sources.withColumn("_p", F.col("_t") / F.lit(float(max(1, total)))))
@@ -92,8 +96,20 @@ def mix(docs: DataFrame, repetition: float = 4.0, entropy: float | None = None,
     sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("_b"))
     before = F.sum("_b").over(Window.partitionBy("source").orderBy("block")) - F.col("_b")
     sums = checkpoint(sums.select("source", "block", before.alias("_before")))
-    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("_r", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("_r", "doc_id").rangeBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("_inside", inside).join(sums, ["source", "block"])
     more = (F.col("n_tokens") > 0) & (F.col("_before") + F.col("_inside") <= F.col("_rest"))
     copies = F.when(F.col("n_tokens") == 0, 1).otherwise(F.col("_passes") + more.cast("int"))
     return placed.select("doc_id", "source", "n_tokens", F.lit(found["a"]).alias("exponent"), "weight", "block", copies.alias("copies"))
+
+
+def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """The rows of `docs`, whole and in the same columns, each as often as mix(docs) in `taken` says."""
+    key = ["source", "n_tokens"]
+    more = taken.filter("copies <> 1").select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in key], "copies").distinct()
+    rows = docs.select(F.struct("*").alias("d"), "doc_id", *_measured())
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    joined = rows.join(more.hint("shuffle_hash"), same, "left").select("d", F.coalesce("copies", F.lit(1)).alias("copies")).filter("copies > 0")
+    return joined.select("d", F.explode(F.sequence(F.lit(1), "copies"))).select("d.*")

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cubespark.llm.mixing import mix
+from cubespark.llm.mixing import mix, repeated
 from cubespark.llm.sharding import communication_matrix, hypergeometric, shard
 
 
@@ -66,6 +66,20 @@ def test_mix_does_not_depend_on_partitions(spark):
     assert key(mix(docs)) == key(mix(docs.repartition(7)))
 
 
+def test_rows_are_repeated_as_taken(spark):
+    docs = corpus(spark).withColumnsRenamed({"text": "text"}).selectExpr("*", "'x' AS copies", "doc_id AS _id", "1 AS n_tokens", "2 AS d")
+    docs = docs.unionAll(docs.limit(3)).unionAll(docs.filter("doc_id = 5").selectExpr("doc_id", "concat(text, ' w')", "source", "copies", "_id", "n_tokens", "d"))
+    taken = mix(docs, repetition=2.0)
+    want = Counter()
+    for r in taken.collect():
+        want[(r["doc_id"], r["source"], r["n_tokens"])] += r["copies"]
+    out = repeated(docs, taken)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in out.collect())
+    assert got == Counter({k: v for k, v in want.items() if v}) and 0 in want.values()
+    assert repeated(docs.limit(0), mix(docs.limit(0))).count() == 0
+
+
 def test_hypergeometric_law():
     rng, good, bad, draws, n = random.Random(5), 30, 50, 20, 20_000
     seen = Counter(hypergeometric(rng, good, bad, draws) for _ in range(n))
