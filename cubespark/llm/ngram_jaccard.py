@@ -135,9 +135,10 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                 n += [len(x) for x in sets]
                 fp += [fingerprint(x) if len(x) else None for x in sets]
                 wide += [sketch(x).tobytes() if len(x) else None for x in sets]
-            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "wide": pa.array(wide, pa.binary())})
+            made = {"n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.int64()), "wide": pa.array(wide, pa.binary())}
+            yield pa.record_batch({"doc_id": batch.column(0), "r": batch.column(2), "s": batch.column(3), **made})
 
-    return docs.mapInArrow(each, "doc_id long, n long, fp long, wide binary")
+    return docs.mapInArrow(each, "doc_id long, r long, s long, n long, fp long, wide binary")
 
 
 def _buckets(docs: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
@@ -395,23 +396,19 @@ def _tested(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Dat
     return _dealt(sets, "x").mapInArrow(each, "a long, b long, links long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Connected components of documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more.
+def _keyed(text: Column) -> list[Column]:
+    """Two hashes that with doc_id stand for a row."""
+    return [F.xxhash64(text).alias("r"), F.xxhash64(F.lit(31), text).alias("s")]
 
-    Words are runs without space and U+0009 to U+000D, with A-Z in lower case. A set has the distinct shingles of `width`
-    words; fewer words are one shingle together. Returns doc_id, n_shingles (size of the set), component_id (the smallest
-    doc_id that the row reaches by links, itself included), class_id (the smallest doc_id with exactly the same set) and
-    n_links (to how many other classes the row's class is linked).
 
-    A null or empty text and one without words has an empty set and is linked with nothing. A null doc_id is linked with
-    nothing and has null ids. Rows with equal doc_id are documents of their own that share the id; equal rows are in one
-    class. Other columns are ignored, whatever their names. An empty table gives no rows.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _solved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, r, s, n, fp), and the classes (fp, class_id, component, component_id, n_links)."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_keyed(text))
     feats = checkpoint(_features(docs, width))
     named = feats.filter("n > 0 AND doc_id IS NOT NULL")
     classes = checkpoint(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("wide").alias("wide")))
-    known = docs.filter("doc_id IS NOT NULL")
+    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     total = classes.agg(F.sum("n")).first()[0] or 0  # there are about three signatures for each four shingles
     bits = max(3, (total * 3 // (4 * RANGE)).bit_length())
     buckets = checkpoint(_buckets(known, width, percent, bits).distinct())
@@ -432,9 +429,57 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     found = found.select(F.col("id").alias("fp"), "component").join(classes.select("fp", "id"), "fp").join(counts, "fp", "left")
     found = checkpoint(found.select("fp", "id", "component", "n_links"))
-    found = found.join(found.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("fp", "component_id", "n_links")
+    found = found.join(found.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("fp", "component", "component_id", "n_links")
     of_class = classes.select("fp", F.col("id").alias("class_id")).join(found, "fp", "left")
-    of_class = checkpoint(of_class.select("fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    linked = named.select("doc_id", "n", "fp").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "n_links")
+    of_class = of_class.select("fp", "class_id", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return feats, checkpoint(of_class)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Connected components of documents whose word-shingle sets have a Jaccard similarity of percent / 100 or more.
+
+    Words are runs without space and U+0009 to U+000D, with A-Z in lower case. A set has the distinct shingles of `width`
+    words; fewer words are one shingle together. Returns doc_id, n_shingles (size of the set), component_id (the smallest
+    doc_id that the row reaches by links, itself included), class_id (the smallest doc_id with exactly the same set) and
+    n_links (to how many other classes the row's class is linked).
+
+    A null or empty text and one without words has an empty set and is linked with nothing. A null doc_id is linked with
+    nothing and has null ids. Rows with equal doc_id are documents of their own that share the id; equal rows are in one
+    class. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
+    feats, of_class = _solved(docs, width, percent)
+    linked = feats.filter("n > 0 AND doc_id IS NOT NULL").join(of_class, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "n_links")
     alone = feats.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, whole and in the same columns, without all but one of each component of jaccard_components().
+
+    The row with the smallest doc_id stays, of several the one with the smaller hashes of its text, and of equal rows
+    one. Rows without words and rows with a null doc_id all stay.
+
+    Rows that go are known by doc_id and two hashes of the text. A Bloom filter of those lets the rows that surely stay
+    pass where they lie; only the others shuffle.
+    """
+    feats, of_class = _solved(docs, width, percent)
+    key = ["doc_id", "r", "s"]
+    rows = feats.filter("n > 0 AND doc_id IS NOT NULL").select(*key, "fp").join(of_class.select("fp", "component"), "fp").select(*key, "component")
+    groups = rows.groupBy("component").agg(F.count("*").alias("_n"), F.min(F.struct(*key)).alias("_first")).filter("_n > 1")
+    marked = rows.join(groups, "component").groupBy(*key).agg(F.count("*").alias("_n"), F.bool_or(F.struct(*key) == F.col("_first")).alias("stays"))
+    marked = checkpoint(marked.filter("NOT stays OR _n > 1").select(*key, "stays", F.xxhash64(*key).alias("k")))
+    bloom = docs.sparkSession.sparkContext.broadcast(build(marked, "k", bits_for(marked.count())))
+
+    whole = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("doc_id"), *_keyed(F.col("text").cast("string")))
+    whole = whole.withColumn("k", F.xxhash64(*key))
+
+    def split(maybe: bool) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(passes(bloom.value, batch.column(4).to_numpy()) == maybe))
+
+        return whole.mapInArrow(each, whole.schema)
+
+    met = split(True).join(marked.drop("k").hint("shuffle_hash"), key, "left")
+    once = met.filter("stays").dropDuplicates(key)
+    return split(False).select("d.*").unionAll(met.filter("stays IS NULL").select("d.*")).unionAll(once.select("d.*"))
