@@ -7,7 +7,6 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cubespark.llm import decontamination as leaks
 from cubespark.llm import mixing, ngram_jaccard, sharding
@@ -22,10 +21,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    found = ngram_jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near copies one document stays, that with the smallest doc_id."""
+    return ngram_jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays once; small sources are repeated, twice at most, towards equal weights."""
-    taken = mixing.mix(docs, repetition=2.0, cover=True)
-    more = taken.filter("copies <> 1").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(more.hint("shuffle_hash"), "doc_id", "left")
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
-    return repeated.select(docs.columns)
+    return mixing.repeated(docs, mixing.mix(docs, repetition=2.0, cover=True))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
