@@ -24,6 +24,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, size: str = "4m") -> None:
+    """Let rows go to Python in batches of about `size` bytes, unless the session has a limit of its own.
+
+    With Spark's 64 MB the buffers of both sides, which are doubled as they fill and freed in pieces, take an executor
+    hundreds of megabytes outside its heap. A longer row is a batch of its own.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, size)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() does the same to text without other characters, and much faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
+
 if TYPE_CHECKING:
     import ahocorasick
 
@@ -138,6 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> Data
 
     Items are read in blocks of bounded size; each block is broadcast and makes one pass over the documents.
     """
+    small_batches(docs)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = slim.select("doc_id").schema
     for name, kind in (("item_id", "long"), ("distance", "integer"), ("match_end", "long"), ("item_chars", "integer")):
@@ -165,6 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> Data
 
 def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """The rows of `docs`, whole and in the same columns, in which no item occurs as contamination() has it."""
+    small_batches(docs)
     at = docs.columns.index("text")
     for block in blocks(items):
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex

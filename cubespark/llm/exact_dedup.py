@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import BITS_A_ROW, MOST_BITS, bits_for, build, passes
-from ._shared import checkpoint
+from ._shared import checkpoint, small_batches
 
 _TEXT = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -41,6 +41,7 @@ def exact_dedup(docs: DataFrame, most_bits: int | None = None) -> DataFrame:
     hashes are taken in that many parts, each with a filter of its own and a pass over its slim rows; so at any size
     hardly a row shuffles that is not repeated. With many billions of rows a larger filter means fewer passes.
     """
+    small_batches(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = checkpoint(slim.mapInArrow(_hashed, "doc_id long, sha binary, short long"))
     context, total, most = docs.sparkSession.sparkContext, rows.count(), most_bits or MOST_BITS

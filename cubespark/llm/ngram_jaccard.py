@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import bits_for, build, passes
-from ._shared import checkpoint
+from ._shared import checkpoint, small_batches
 from ._words import U, mix64, pieces, shingles, words
 
 FLUSH = 1_000_000  # signatures that a task holds before it passes them on
@@ -403,6 +403,7 @@ def _keyed(text: Column) -> list[Column]:
 
 def _solved(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, r, s, n, fp), and the classes (fp, class_id, component, component_id, n_links)."""
+    small_batches(docs)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_keyed(text))
     feats = checkpoint(_features(docs, width))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import bits_for, build, passes
-from ._shared import checkpoint
+from ._shared import checkpoint, small_batches
 from ._words import PUNCTUATION, U, mix64, pieces, words
 
 BUCKETS = 1 << 16  # rows of each embedding table; row 0 is the padding between texts
@@ -246,6 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars
     score. Thresholds come from all usable labelled rows but those of the fit, whole texts of any length: each is scored
     where it lies, and only counts by language, class and step of the score reach the driver.
     """
+    small_batches(docs)
     known = checkpoint(labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic")))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("_n")).filter(F.col("_n") > 0).groupBy("doc_id").agg(F.sum("_n").alias("_n"))
     pool = checkpoint(known.join(sized, "doc_id"))
@@ -314,6 +315,7 @@ def score(docs: DataFrame, model: Model | None, limits: dict[str, float], column
     any known word. A language without a threshold has 0.5. With no model (no usable labels of both classes) all scores
     are 0. Rows are scored on their own: repeated rows and equal doc_ids stay. An empty table gives no rows.
     """
+    small_batches(docs)
     columns = [c for c in (columns or []) if c not in ("doc_id", "score", "lang_threshold", "flagged")]
     spark, slim = docs.sparkSession, docs.select("doc_id", *columns, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
     shared = spark.sparkContext.broadcast(model)
@@ -348,6 +350,7 @@ def accepted(docs: DataFrame, model: Model | None, limits: dict[str, float] | No
     `limits`, or below `limit` if it has none there. With no model all rows stay."""
     if model is None:
         return docs
+    small_batches(docs)
     shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang") if limits else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
