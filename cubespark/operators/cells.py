@@ -62,10 +62,14 @@ def window_stats(cells: DataFrame, channels: list[str], by: list[str] | None = N
 
 
 def long_stats(cells: DataFrame, channels: list[str]) -> DataFrame:
-    """window_stats as a row a channel: channel, mean, min, max."""
-    wide = window_stats(cells, channels)
-    rows = F.array(*[F.struct(F.lit(c).alias("channel"), *[F.col(f"{c}_{s}").alias(s) for s in ("mean", "min", "max")]) for c in channels])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """Mean, least and largest value of each channel, a row a channel: channel, mean, min, max.
+
+    Channels become rows first: three aggregates over rows stay in generated code, three for each of many columns do not.
+    """
+    values = cells.select(F.posexplode(F.array(*[value(F.col(c).cast("double")) for c in channels])).alias("_c", "_v"))
+    found = values.groupBy("_c").agg(F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    names = cells.sparkSession.createDataFrame(list(enumerate(channels)), "_c int, channel string")
+    return F.broadcast(found).join(names, "_c", "right").select("channel", "mean", "min", "max")  # a row a channel on both sides
 
 
 def any_nan(cells: DataFrame, channels: list[str], by: list[str]) -> DataFrame:
@@ -82,16 +86,23 @@ def clip_cast(c: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(c, high)).cast("smallint")
 
 
-def densify(cells: DataFrame, window: Window, channels: list[str], fill: float = 0, by: list[str] | None = None) -> DataFrame:
-    """Every pixel of a window, in each group of `by` (a time step, say); pixels never written have the fill value.
+def densify(cells: DataFrame, window: Window, channels: list[str], fill: float = 0, groups: DataFrame | None = None) -> DataFrame:
+    """Every pixel of a window, in each row of `groups` (time steps, say), with its columns; pixels never written have the
+    fill value, also in groups without cells.
 
     Only the window is made dense, from a range that is joined by pixel.
     """
     spark, width = cells.sparkSession, max(0, window.ix1 - window.ix0)
     n = width * max(0, window.iy1 - window.iy0)
     full = spark.range(n).select((F.col("id") % max(1, width) + window.ix0).cast("int").alias("ix"), (F.floor(F.col("id") / max(1, width)) + window.iy0).cast("int").alias("iy"))
-    if by:
-        full = full.crossJoin(F.broadcast(cells.select(*by).distinct()))
-    keys = ["ix", "iy", *(by or [])]
+    keys = ["ix", "iy"]
+    if groups is not None:
+        full, keys = full.crossJoin(groups), [*keys, *groups.columns]
     held = crop(cells, window).select(*keys, *channels)
-    return full.join(held, keys, "left").select(*keys, *[F.coalesce(value(F.col(c)), F.lit(fill).cast(held.schema[c].dataType)).alias(c) if held.schema[c].dataType.typeName() in ("float", "double") else F.coalesce(c, F.lit(fill).cast(held.schema[c].dataType)).alias(c) for c in channels])
+
+    def filled(c: str) -> Column:
+        kind = held.schema[c].dataType
+        own = value(F.col(c)) if kind.typeName() in ("float", "double") else F.col(c)
+        return F.coalesce(own, F.lit(fill).cast(kind)).alias(c)
+
+    return full.join(held, keys, "left").select(*keys, *map(filled, channels))

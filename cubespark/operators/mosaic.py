@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import clip_cast, value
@@ -47,14 +47,15 @@ def band_range(cells: DataFrame, channels: list[str]) -> DataFrame:
 def fill_gaps(cells: DataFrame, channel: str, by: list[str]) -> DataFrame:
     """Give each missing pixel the value of the nearest valid one of its patch (`by`).
 
-    Distances are Euclidean; of equally near pixels the one with the smaller (iy, ix) counts. Search rings grow: the gaps
+    Distances are Euclidean; of equally near pixels the one with the smaller (iy, ix) counts. A nearest pixel lacks a valid
+    neighbour on the side of the gap, which would be nearer; so only such border pixels are looked at. Search rings grow: the gaps
     that are left look for valid pixels in square bins of the ring's radius, their own and the eight around, so each round
     is an equi join and no patch is gathered in one place. A value found at distance r is final once r is at most the
     radius. The loop ends when all gaps are filled, or with the ring that covers the whole patch.
     """
     keys = [*by, *PIXEL]
     cells = cells.withColumn("_v", value(F.col(channel).cast("double")))
-    valid, gaps = cells.filter("_v IS NOT NULL").select(*keys, "_v"), cells.filter("_v IS NULL").select(*keys)
+    valid, gaps = _border(cells.filter("_v IS NOT NULL").select(*keys, "_v"), by), cells.filter("_v IS NULL").select(*keys)
     span = cells.agg(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy")).first()
     reach = 1 + max(span[0] or 0, span[1] or 0)
     done, left, radius = None, gaps, 2
@@ -81,6 +82,16 @@ def fill_gaps(cells: DataFrame, channel: str, by: list[str]) -> DataFrame:
     return cells.join(filled, keys, "left").select(*keys, F.coalesce("_v", "_f").alias(channel))
 
 
+def _border(valid: DataFrame, by: list[str]) -> DataFrame:
+    """The pixels that lack one of their four neighbours."""
+    lacks = F.lit(False)
+    for along, across in (("ix", "iy"), ("iy", "ix")):
+        line = Window.partitionBy(*by, across).orderBy(along)
+        beside = (F.lag(along).over(line) == F.col(along) - 1) & (F.lead(along).over(line) == F.col(along) + 1)
+        lacks = lacks | ~F.coalesce(beside, F.lit(False))
+    return valid.withColumn("_lacks", lacks).filter("_lacks").drop("_lacks")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage, which doubles in each round, in the folder that the cluster names in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext

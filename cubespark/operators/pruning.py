@@ -14,24 +14,28 @@ def meet(a: str, b: str) -> Column:
     return geom.boxes_meet({n: F.col(f"{a}.{n}") for n in names}, {n: F.col(f"{b}.{n}") for n in names})
 
 
-def _bins(box: str, size: float) -> Column:
+def _binned(boxes: DataFrame, box: str, size: float) -> DataFrame:
+    """A row for each bin that a box meets. Columns of bins first, then the rows of each, so no row holds all of them."""
     lo = lambda c: F.floor(F.col(f"{box}.{c}") / size)
-    xs, ys = F.sequence(lo("x_min"), lo("x_max")), F.sequence(lo("y_min"), lo("y_max"))
-    return F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("bx"), y.alias("by"))))))
+    columns = boxes.withColumn("bx", F.explode(F.sequence(lo("x_min"), lo("x_max"))))
+    return columns.withColumn("by", F.explode(F.sequence(lo("y_min"), lo("y_max"))))
 
 
-def spatial_join(tiles: DataFrame, areas: DataFrame, size: float, tile_ring: str | None = None, area_ring: str | None = None) -> DataFrame:
+def spatial_join(tiles: DataFrame, areas: DataFrame, size: float, tile_ring: str | None = None, area_ring: str | None = None, area_parts: str | None = None) -> DataFrame:
     """Pairs of a tile and an area whose boxes meet, and whose convex rings do if given.
 
     Both sides have x_min, y_min, x_max, y_max, and are put into square bins of `size`, best about a tile's edge. The join
     is on the bin; a pair is taken only in the bin of the lower left corner of what they share, so it comes once.
+    `area_parts`: instead of a ring, the area's convex parts, for areas of any form.
     """
-    t = tiles.select(F.struct("*").alias("t")).withColumn("b", _bins("t", size))
-    a = areas.select(F.struct("*").alias("a")).withColumn("b", _bins("a", size))
-    first = (F.floor(F.greatest("t.x_min", "a.x_min") / size) == F.col("b.bx")) & (F.floor(F.greatest("t.y_min", "a.y_min") / size) == F.col("b.by"))
-    pairs = t.join(a, "b").filter(first & meet("t", "a"))
+    t = _binned(tiles.select(F.struct("*").alias("t")), "t", size)
+    a = _binned(areas.select(F.struct("*").alias("a")), "a", size)
+    first = (F.floor(F.greatest("t.x_min", "a.x_min") / size) == F.col("bx")) & (F.floor(F.greatest("t.y_min", "a.y_min") / size) == F.col("by"))
+    pairs = t.join(a, ["bx", "by"]).filter(first & meet("t", "a"))
     if tile_ring and area_ring:
         pairs = pairs.filter(geom.convex_meet(F.col(f"t.{tile_ring}"), F.col(f"a.{area_ring}")))
+    if tile_ring and area_parts:
+        pairs = pairs.filter(F.exists(F.col(f"a.{area_parts}"), lambda p: geom.convex_meet(F.col(f"t.{tile_ring}"), p)))
     return pairs.select("t", "a")
 
 

@@ -113,8 +113,8 @@ class Cube:
         """Cells of an area (its bounding pixel window, on the cube's own grid) and time, after ingesting what is missing.
 
         channels: which to read (all by default). persist: keep the result in memory and compute it now; else it is lazy.
-        buffer: pixels around the window. fill: give pixels that were never written this value and a row; otherwise only
-        written cells have rows. snapshot: read this commit and ingest nothing. overlaps=False spares the overlay when a
+        buffer: pixels around the window. fill: give pixels that were never written, at each requested step, this value and a
+        row; otherwise only written cells have rows. snapshot: read this commit and ingest nothing. overlaps=False spares the overlay when a
         source's patches share no cells.
         """
         steps = self._steps(when)
@@ -132,7 +132,9 @@ class Cube:
             cells = cells.filter(F.col("it").isin(its) & F.col("chunk_t").isin(its))
         out = self.store.overlaid(cells, overlaps)
         if fill is not None:
-            out = ops.densify(out, window, d.channel_names, fill, ["it"] if self.is_temporal else None)
+            its = list(range(len(d.times or ()))) if steps is None or when is None else its
+            asked = self.spark.createDataFrame([(i,) for i in sorted(set(its))], "it int") if self.is_temporal else None
+            out = ops.densify(out, window, d.channel_names, fill, asked)
         out = self._labelled(out)
         names = channels or d.channel_names
         out = out.select(*[c for c in out.columns if c not in d.channel_names], *[F.col(c.name).alias(c.name, metadata=dict(c.meta)) for c in d.channels if c.name in names])
@@ -161,12 +163,14 @@ class Cube:
             raise ValueError("the cube has no source")
         patches = self.source.patches(self, aoi, self._steps(when), when).dropDuplicates(["patch_id"]).persist()
         try:
-            if patches.isEmpty():
-                raise ValueError("no patch of the source meets the area and time")
-            new = missing(patches, self.store.manifest())
-            if new.isEmpty():
+            base = self.store.snapshot()
+            new = missing(patches, self.store.manifest(base)) if base else patches
+            ids = [r["patch_id"] for r in new.orderBy("patch_order", "patch_id").select("patch_id").collect()]
+            if not ids:
+                if patches.isEmpty():
+                    raise ValueError("no patch of the source meets the area and time")
                 return []
-            return self.store.write_patches(new.orderBy("patch_order", "patch_id"), self.source.cells(self, new))
+            return self.store.write_patches(ids, self.source.cells(self, new), base=base)
         finally:
             patches.unpersist()
 

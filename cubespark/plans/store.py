@@ -5,8 +5,10 @@
     <path>/data/fragment=<id>/chunk_t=…/chunk_y=…/   cells, written once and never changed
 
 A commit is the creation of the next manifest file, which fails if it exists: that is the only point of contention. What
-no manifest names does not exist for readers, and a reader that pins a commit sees no later one. All files are reached
-through Hadoop's file systems, so the store lies wherever Spark can read.
+no manifest names does not exist for readers, and a reader that pins a commit sees no later one. A compaction says which
+commits it stands for; it takes their place in the order, so commits made meanwhile keep theirs, and their fragments are
+not read by snapshots that have it. All files are reached through Hadoop's file systems, so the store lies wherever
+Spark can read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from ..operators.cells import value, with_chunks
 from ..operators.pruning import missing
 from .definitions import TOP, CubeDef
 
-MANIFEST = "cube STRING, patch_id STRING, commit_seq BIGINT, pos INT, commit_ts TIMESTAMP, fragment STRING, message STRING"
+MANIFEST = "cube STRING, patch_id STRING, commit_seq BIGINT, pos INT, commit_ts TIMESTAMP, fragment STRING, message STRING, replaces BIGINT"
 TRIES = 100
+#: Rows of pixels of a chunk that one task writes.
+ROWS = 512
+#: What stands for the patches of a compaction in its cells.
+COMPACTED = "compacted"
 
 
 class StoreError(Exception):
@@ -108,24 +114,41 @@ class Store:
         """Number of the last commit, 0 for none."""
         return max(self._commits(), default=0)
 
-    def manifest(self, snapshot: int | None = None) -> DataFrame:
-        """Committed patches in order of (commit_seq, pos)."""
-        if not self._commits():
+    def _log(self, snapshot: int | None) -> DataFrame:
+        """All rows of the manifest up to a commit, compactions included."""
+        commits = [c for c in self._commits() if snapshot is None or c <= snapshot]
+        if not commits:
             return self.spark.createDataFrame([], MANIFEST)
         rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest")
-        return rows.filter(F.col("commit_seq") <= snapshot) if snapshot is not None else rows
+        return rows.filter(F.col("commit_seq") <= commits[-1])
+
+    def manifest(self, snapshot: int | None = None) -> DataFrame:
+        """Committed patches, each with the commit that brought it; in order of (commit_seq, pos)."""
+        return self._log(snapshot).filter("replaces IS NULL").drop("replaces")
 
     def loaded_patches(self) -> list[str]:
-        if not self._commits():
-            return []
         return [r["patch_id"] for r in self.manifest().orderBy("commit_seq", "pos").select("patch_id").collect()]
 
-    def commit(self, patch_ids: Iterable[str], fragment: str, message: str = "", base: int | None = None) -> int:
-        """Make a fragment visible as the commit after `base` (default: the last). ConflictError if that exists."""
+    def live(self, snapshot: int | None = None) -> DataFrame:
+        """The patches whose cells make up a snapshot: fragment, patch_id, commit_seq (their place in the order) and pos.
+
+        That is the compaction that stands for the most commits, the later of equal ones, and all commits after those.
+        """
+        rows = self._log(snapshot)
+        last = rows.agg(F.max(F.struct("replaces", "commit_seq")).alias("m")).select(F.coalesce("m.replaces", F.lit(0)).alias("_to"), F.col("m.commit_seq").alias("_by"))
+        rows = rows.crossJoin(F.broadcast(last))  # one row
+        keep = F.when(F.col("replaces").isNull(), F.col("commit_seq") > F.col("_to")).otherwise(F.col("commit_seq") == F.col("_by"))
+        return rows.filter(keep).select("fragment", "patch_id", F.coalesce("replaces", "commit_seq").alias("commit_seq"), "pos")
+
+    def commit(self, patch_ids: Iterable[str], fragment: str, message: str = "", base: int | None = None, replaces: int | None = None) -> int:
+        """Make a fragment visible as the commit after `base` (default: the last). ConflictError if that exists.
+
+        `replaces`: the fragment has all that the commits up to that one have.
+        """
         seq = (self.snapshot() if base is None else base) + 1
         now = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + "Z"
         cube = self.definition().name
-        lines = [json.dumps({"cube": cube, "patch_id": p, "commit_seq": seq, "pos": i, "commit_ts": now, "fragment": fragment, "message": message}) for i, p in enumerate(patch_ids)]
+        lines = [json.dumps({"cube": cube, "patch_id": p, "commit_seq": seq, "pos": i, "commit_ts": now, "fragment": fragment, "message": message, "replaces": replaces}) for i, p in enumerate(patch_ids)]
         try:
             self._write(f"manifest/{seq:020d}.json", "\n".join(lines) + "\n", False)
         except Py4JJavaError as e:
@@ -146,46 +169,56 @@ class Store:
                 out = out.withColumn(c.name, F.when(fits, F.col(c.name)).otherwise(F.raise_error(F.lit(f"{c.name} is out of range for {c.dtype}"))))
         chunks = ["chunk_t", "chunk_y", "chunk_x"]
         out = out.select("patch_id", "it", "iy", "ix", *[F.col(c.name).cast(c.field().dataType).alias(c.name) for c in d.channels], *chunks)
-        # Rows of a chunk meet in one task and lie in row order, so that row groups can be skipped by iy within a chunk.
-        out = out.repartition(*chunks).sortWithinPartitions(*chunks, "iy", "ix")
+        # A chunk is written by tasks of ROWS rows of pixels each, in row order, so that row groups can be skipped by iy.
+        out = out.repartition(*chunks, F.floor(F.col("iy") / ROWS)).sortWithinPartitions(*chunks, "iy", "ix")
         out.write.mode("error").partitionBy(*chunks).option("compression", "zstd").parquet(f"{self.path}/data/fragment={fragment}")
         return fragment
 
-    def write_patches(self, patches: DataFrame, cells: DataFrame, message: str = "") -> list[str]:
+    def write_patches(self, patches: list[str] | DataFrame, cells: DataFrame, message: str = "", base: int | None = None) -> list[str]:
         """Write and commit the cells of patches, each patch at most once. Returns the ids committed now.
 
-        If another writer commits first, the patches that it brought are left out and the commit is tried again.
+        If another writer commits first, the patches that it brought are left out and the commit is tried again. `base`:
+        none of these patches is in the store up to this commit; otherwise what there is is looked up.
         """
-        wanted = [r["patch_id"] for r in patches.select("patch_id").collect()]
-        wanted = list(dict.fromkeys(wanted))
-        base = self.snapshot()
-        have = set(self.loaded_patches())
-        new = [p for p in wanted if p not in have]
+        new = patches if isinstance(patches, list) else [r["patch_id"] for r in patches.select("patch_id").collect()]
+        new = list(dict.fromkeys(new))
+        if base is None:
+            base = self.snapshot()
+            held = self.manifest(base)
+            new, cells = self._lacking(new, held), missing(cells, held)
         if not new:
             return []
-        fragment = self.write_fragment(missing(cells, self.manifest()))
+        fragment = self.write_fragment(cells)
         for _ in range(TRIES):
             try:
                 self.commit(new, fragment, message or f"Write {len(new)} patches", base)
                 return new
             except ConflictError:
-                base = self.snapshot()
-                have = set(self.loaded_patches())
-                new = [p for p in new if p not in have]
+                since, base = base, self.snapshot()
+                new = self._lacking(new, self.manifest(base).filter(F.col("commit_seq") > since))
                 if not new:
                     return []
         raise ConflictError(f"no commit in {TRIES} tries")
 
+    def _lacking(self, ids: list[str], held: DataFrame) -> list[str]:
+        """Those of the ids, in order, that are not in `held`. Only ids asked for reach the driver."""
+        asked = self.spark.createDataFrame([(p,) for p in ids], "patch_id string")
+        there = {r["patch_id"] for r in asked.join(held.select("patch_id"), "patch_id", "left_semi").collect()} if ids else set()
+        return [p for p in ids if p not in there]
+
     def raw(self, snapshot: int | None = None) -> DataFrame:
-        """All committed cells with commit_seq and pos, not yet overlaid. Filters on chunk columns prune partitions."""
+        """Committed cells with commit_seq and pos, not yet overlaid, of the live fragments. Filters on chunk columns prune partitions."""
         d = self.definition()
         files = T.StructType([T.StructField("patch_id", T.StringType()), *d.cell_schema().fields])
         parts = T.StructType.fromDDL("fragment STRING, chunk_t INT, chunk_y INT, chunk_x INT")
-        manifest = self.manifest(snapshot)
-        if not self._exists("data") or not self._commits():
+        live = self.live(snapshot)
+        fragments = [r["fragment"] for r in live.select("fragment").distinct().collect()]  # one a commit since the last compaction
+        paths = [f"data/fragment={f}" for f in sorted(fragments)]
+        paths = [f"{self.path}/{p}" for p in paths if self._exists(p)]
+        if not paths:
             return self.spark.createDataFrame([], T.StructType([*files.fields, *parts.fields, *T.StructType.fromDDL("commit_seq BIGINT, pos INT").fields]))
-        cells = self.spark.read.schema(T.StructType([*files.fields, *parts.fields])).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
-        return cells.join(manifest.select("fragment", "patch_id", "commit_seq", "pos"), ["fragment", "patch_id"])
+        cells = self.spark.read.schema(T.StructType([*files.fields, *parts.fields])).option("basePath", f"{self.path}/data").parquet(*paths)
+        return cells.join(live, ["fragment", "patch_id"])
 
     def overlaid(self, cells: DataFrame, overlaps: bool = True) -> DataFrame:
         """One row a cell: of each channel the last committed valid value. Without overlaps nothing is aggregated."""
@@ -199,14 +232,33 @@ class Store:
         return cells.groupBy(*keys).agg(*aggs)
 
     def compact(self) -> str | None:
-        """Rewrite all committed cells, overlaid, as one fragment of a patch of its own, in a commit that follows the rest.
+        """Rewrite all committed cells, overlaid, as one fragment that later snapshots read instead.
 
-        Earlier snapshots still read what they did. Reads of later ones are the same, since the last valid value wins.
+        Earlier snapshots still read what they did. What others commit meanwhile comes after it in the order, and of two
+        compactions at a time readers take the one that stands for more. Both make just a later commit.
         """
-        if not self._commits():
+        pinned = self.snapshot()
+        if not pinned:
             return None
-        name = f"compacted-{self.snapshot()}"
-        cells = self.overlaid(self.raw(self.snapshot())).drop("chunk_t", "chunk_y", "chunk_x").withColumn("patch_id", F.lit(name))
+        cells = self.overlaid(self.raw(pinned)).drop("chunk_t", "chunk_y", "chunk_x").withColumn("patch_id", F.lit(COMPACTED))
         fragment = self.write_fragment(cells)
-        self.commit([name], fragment, "Compact")
-        return fragment
+        for _ in range(TRIES):
+            try:
+                self.commit([COMPACTED], fragment, f"Compact commits to {pinned}", self.snapshot(), pinned)
+                return fragment
+            except ConflictError:
+                continue
+        raise ConflictError(f"no commit in {TRIES} tries")
+
+    def vacuum(self, hours: float = 168.0) -> list[str]:
+        """Delete fragments that no commit names and that are older than `hours`, so that no writer may still be at them."""
+        if not self._exists("data"):
+            return []
+        named = {r["fragment"] for r in self._log(None).select("fragment").distinct().collect()}
+        gone, now = [], time.time()
+        for status in self._fs.listStatus(self._p("data")):
+            name = status.getPath().getName()
+            if name.startswith("fragment=") and name[9:] not in named and status.getModificationTime() / 1000 < now - hours * 3600:
+                self._fs.delete(status.getPath(), True)
+                gone.append(name[9:])
+        return gone

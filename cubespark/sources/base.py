@@ -134,7 +134,7 @@ class TileSource(Source):
 
     def state(self, cube: Cube, manifest: DataFrame) -> DataFrame:
         d = cube.definition
-        at = manifest.filter(~F.col("patch_id").startswith("compacted-")).select(F.col("patch_id").alias("id"), parse_patch_id(F.col("patch_id")).alias("p"))
+        at = manifest.select(F.col("patch_id").alias("id"), parse_patch_id(F.col("patch_id")).alias("p"))
         boxed = at.select("id", "p.it", *d.grid.tile_box(F.col("p.row"), F.col("p.col"), d.chunk))
         out = boxed.withColumn("geometry", geom.box_ring(*[F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]))
         if d.is_temporal:

@@ -98,6 +98,15 @@ def test_fill_and_channels(cube):
     assert len(rows) == 100 and "v" not in out.columns and sum(r["ok"] for r in rows) == 25
 
 
+def test_fill_reaches_steps_without_cells(spark, tmp_path):
+    c = Cube(spark, str(tmp_path / "t"), TIMED, TileSource(fetch))
+    c.create()
+    c.ingest(area(0, 15, 5, 20), "2018-01-01")
+    out = c.load(area(0, 15, 2, 16), ["2017-01-01", "2018-01-01"], snapshot=1, fill=-1, persist=False)
+    assert {(r["it"], r["ix"], r["v"]) for r in out.collect()} == {(0, 0, -1.0), (0, 1, -1.0), (1, 0, 10400.0), (1, 1, 10401.0)}
+    assert c.load(area(0, 15, 1, 16), snapshot=1, fill=-1, persist=False).count() == 8
+
+
 def test_load_like_with_buffer(spark, cube):
     like = spark.createDataFrame([(2.5, 17.5), (3.5, 16.5)], "x double, y double")
     got = {(r["iy"], r["ix"]) for r in cube.load_like(like, buffer=1, persist=False).collect()}
@@ -142,6 +151,76 @@ def test_last_valid_value_wins_and_compaction_keeps_it(spark, cube):
     assert read() == {(0, 0): 2.0, (1, 1): 5.0}
 
 
+def scanned(df):
+    """Cells that the scan of the data read."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            node = node.plan()
+        if "Scan parquet" in node.nodeName():
+            out.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sum(out)
+
+
+def test_compaction_bounds_what_is_read(spark, cube):
+    s = cube.store
+    for i in range(5):
+        s.commit([f"p{i}"], fragment(spark, s, f"p{i}", float(i)))
+    before = cube.open()
+    assert scanned(before) == 10
+    s.compact()
+    after = cube.open()
+    assert scanned(after) == 2 and sorted(map(tuple, after.collect())) == sorted(map(tuple, before.collect()))
+    assert cube.open(3).count() == 2 and {r["v"] for r in cube.open(3).collect()} == {2.0}
+    assert s.loaded_patches() == [f"p{i}" for i in range(5)]
+    s.compact()
+    assert scanned(cube.open()) == 2
+
+
+def test_commits_during_a_compaction_win(spark, cube, monkeypatch):
+    s, other = cube.store, Store(spark, cube.store.path)
+    s.commit(["a"], fragment(spark, s, "a", 1.0))
+    real, raced = s.write_fragment, []
+
+    def slow(c):
+        out = real(c)
+        if not raced:
+            raced.append(other.commit(["b"], fragment(spark, other, "b", 2.0, [(0, 0)])))
+        return out
+
+    monkeypatch.setattr(s, "write_fragment", slow)
+    s.compact()
+    read = lambda n=None: {(r["iy"], r["ix"]): r["v"] for r in cube.open(n).collect()}
+    assert read() == read(2) == {(0, 0): 2.0, (1, 1): 1.0} and read(1) == {(0, 0): 1.0, (1, 1): 1.0}
+
+
+def test_the_compaction_that_stands_for_more_is_read(spark, cube):
+    s = cube.store
+    s.commit(["a"], fragment(spark, s, "a", 1.0))
+    s.commit(["b"], fragment(spark, s, "b", 2.0))
+    s.commit(["compacted"], fragment(spark, s, "compacted", 2.0), replaces=2)
+    s.commit(["compacted"], fragment(spark, s, "compacted", 1.0), replaces=1)  # began before, ended after
+    s.commit(["c"], fragment(spark, s, "c", 3.0, [(1, 1)]))
+    assert {(r["iy"], r["ix"]): r["v"] for r in cube.open().collect()} == {(0, 0): 2.0, (1, 1): 3.0}
+
+
+def test_vacuum_leaves_what_commits_name(spark, cube):
+    s = cube.store
+    s.commit(["a"], fragment(spark, s, "a", 1.0))
+    lost = fragment(spark, s, "b", 9.0)
+    assert s.vacuum() == [] and s.vacuum(hours=-1) == [lost]
+    assert cube.open().count() == 2
+
+
 def test_two_writers(spark, cube):
     s = cube.store
     f = fragment(spark, s, "a", 1.0)

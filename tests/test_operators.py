@@ -116,7 +116,7 @@ def test_missing_keeps_repeated_patches(spark):
 
 def test_densify(spark):
     df = spark.createDataFrame([(0, 1, 1, 5.0, 7), (1, 0, 0, NAN, None)], "it int, ix int, iy int, v double, n int")
-    out = {(r["it"], r["ix"], r["iy"]): (r["v"], r["n"]) for r in ops.densify(df, Window(0, 2, 0, 2), ["v", "n"], 0, ["it"]).collect()}
+    out = {(r["it"], r["ix"], r["iy"]): (r["v"], r["n"]) for r in ops.densify(df, Window(0, 2, 0, 2), ["v", "n"], 0, spark.range(2).selectExpr("CAST(id AS int) AS it")).collect()}
     assert len(out) == 8 and out[(0, 1, 1)] == (5.0, 7) and out[(1, 0, 0)] == (0.0, 0) and out[(0, 0, 0)] == (0.0, 0)
 
 
