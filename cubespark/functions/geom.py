@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
+#: The Spark type of a list of rings.
+PARTS = "array<array<struct<x:double,y:double>>>"
 
 
 def ring(points: list[tuple[Column | float, Column | float]]) -> Column:
@@ -32,6 +37,69 @@ def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["x_min"] < b["x_max"]) & (b["x_min"] < a["x_max"]) & (a["y_min"] < b["y_max"]) & (b["y_min"] < a["y_max"])
 
 
+def is_convex(points: Ring) -> bool:
+    """Whether the ring turns one way only, and once around."""
+    turns, around = [], 0
+    for a, b, c in zip(points, [*points[1:], points[0]], [*points[2:], *points[:2]], strict=True):
+        turns.append((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]))
+        around += (b[1] > a[1]) != (c[1] > b[1])  # a convex ring goes up once and down once
+    return len(points) >= 3 and (min(turns) >= 0 or max(turns) <= 0) and around <= 2
+
+
+def convex_parts(rings: list[Ring]) -> list[Ring]:
+    """Convex rings that together cover what an odd number of the given rings enclose: concave rings, holes, several polygons.
+
+    Between two neighbouring heights of points all edges are straight and keep their order, so each second gap between
+    them is a trapezoid. A single convex ring is its own part.
+    """
+    rings = [r for r in rings if len(r) >= 3]
+    if len(rings) == 1 and is_convex(rings[0]):
+        return [list(rings[0])]
+    edges = sorted((*sorted((p, q), key=lambda e: e[1]),) for r in rings for p, q in zip(r, [*r[1:], r[0]], strict=True) if p[1] != q[1])
+    edges.sort(key=lambda e: e[0][1])
+    heights = sorted({p[1] for r in rings for p in r})
+    # Edges of valid polygons meet only in points; where others cross, the crossings are heights as well.
+    out, active, k = [], [], 0
+    for low, high in zip(heights, heights[1:], strict=False):
+        active = [e for e in active if e[1][1] > low]
+        while k < len(edges) and edges[k][0][1] <= low:
+            active.append(edges[k])
+            k += 1
+        at = lambda e, y: e[0][0] + (e[1][0] - e[0][0]) * (y - e[0][1]) / (e[1][1] - e[0][1])
+        crossing = sorted((at(e, (low + high) / 2), at(e, low), at(e, high)) for e in active)
+        for (_, a, d), (_, b, c) in zip(crossing[::2], crossing[1::2], strict=True):
+            part = [(a, low), (b, low), (c, high), (d, high)]
+            part = [p for i, p in enumerate(part) if p != part[i - 1]]
+            if len(part) >= 3:
+                out.append(part)
+    return out
+
+
+def parts_column(parts: list[Ring]) -> Column:
+    """The parts as one constant, however many they are."""
+    import json
+
+    return F.from_json(F.lit(json.dumps([[{"x": float(x), "y": float(y)} for x, y in p] for p in parts])), PARTS)
+
+
+def any_meets(parts: list[Ring], r: Column) -> Column:
+    """Whether the interior of the convex ring r meets that of one of the parts."""
+    if len(parts) == 1:
+        return convex_meet(r, ring(parts[0]))
+    return F.exists(parts_column(parts), lambda p: boxes_meet(box(p), box(r)) & convex_meet(p, r))
+
+
+def with_parts(df: DataFrame, rings: str, parts: str) -> DataFrame:
+    """Add the convex parts of a column of ring lists (the even-odd rule holds for all rings of a row together)."""
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            cut = [None if row is None else convex_parts([[(p["x"], p["y"]) for p in r] for r in row]) for row in batch]
+            yield pd.Series([None if row is None else [[{"x": x, "y": y} for x, y in r] for r in row] for row in cut])
+
+    return df.withColumn(parts, F.pandas_udf(each, PARTS)(rings))
+
+
 def _edges(r: Column) -> Column:
     return F.zip_with(r, F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1)), lambda p, q: F.struct((q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy")))
 

@@ -20,8 +20,9 @@ from ..sources import python_source
 from ..sources.base import TileSource
 from ..streaming.ingest import ingest_stream
 from . import views as V
-from .cube import Cube
+from .cube import Area, Areas, Cube
 from .definitions import Channel, CubeDef, builtin
+from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -211,10 +212,10 @@ def _manifest(spark, sf_dir):
 
 
 def _wanted(spark, sf_dir):
-    return V.table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("patch_id"), F.col("l_partkey").alias("part"))
+    return V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("patch_id"), F.col("l_partkey").alias("part"))
 
 
-@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS patch_id, l_partkey AS part FROM lineitem WHERE l_linenumber = 1 AND CAST(l_orderkey AS VARCHAR) NOT IN (SELECT patch_id FROM {_HELD})")
+@query(f"SELECT CAST(l_orderkey AS VARCHAR) AS patch_id, l_partkey AS part FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) NOT IN (SELECT patch_id FROM {_HELD})")
 def missing_patches(spark, sf_dir):
     """JOIN-2, SET-1: repeated patches stay repeated."""
     return pruning.missing(_wanted(spark, sf_dir), _manifest(spark, sf_dir))
@@ -225,7 +226,7 @@ def loaded_patches(spark, sf_dir):
     return _manifest(spark, sf_dir)
 
 
-@query(f"SELECT count(*) AS adjacent, count(*) FILTER (WHERE h.patch_id IS NOT NULL) AS loaded, count(*) FILTER (WHERE h.patch_id IS NULL) AS new FROM (SELECT CAST(l_orderkey AS VARCHAR) AS patch_id FROM lineitem WHERE l_linenumber = 1) w LEFT JOIN {_HELD} h USING (patch_id)")
+@query(f"SELECT count(*) AS adjacent, count(*) FILTER (WHERE h.patch_id IS NOT NULL) AS loaded, count(*) FILTER (WHERE h.patch_id IS NULL) AS new FROM (SELECT CAST(l_orderkey AS VARCHAR) AS patch_id FROM lineitem) w LEFT JOIN {_HELD} h USING (patch_id)")
 def patch_counts(spark, sf_dir):
     held = _manifest(spark, sf_dir).distinct().withColumn("h", F.lit(1))
     return _wanted(spark, sf_dir).join(held, "patch_id", "left").agg(F.count("*").alias("adjacent"), F.count("h").alias("loaded"), F.count_if(F.col("h").isNull()).alias("new"))
@@ -251,10 +252,10 @@ def current_state(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    return V.table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", "ts")
+    return V.table(spark, sf_dir, "events").select("event_id", "ts")
 
 
-_REQ = "(SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS q FROM events WHERE event_type = 'error')"
+_REQ = "(SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS q FROM events)"
 
 
 def _pick(order: str, where: str = "TRUE", kind: str = "LEFT") -> str:
@@ -331,11 +332,10 @@ def time_axis(spark, sf_dir):
 @query(f"SELECT it, row, col, CAST(it AS VARCHAR) || '-' || CAST(row AS VARCHAR) || '-' || CAST(col AS VARCHAR) AS patch_id, CAST(row_number() OVER (ORDER BY it, row, col) AS INTEGER) AS pos FROM {_N}, {_DAYS}")
 def patch_time_cross(spark, sf_dir):
     """JOIN-6, SRT-2: patches of all steps, by time, then tile."""
-    from pyspark.sql import Window
-
     out = pruning.patch_steps(V.tiles(spark, sf_dir), toi.axis_table(spark, DAYS))
-    out = out.select("it", "row", "col", grid.patch_id(F.col("row"), F.col("col"), F.col("it")).alias("patch_id"))
-    return out.withColumn("pos", F.row_number().over(Window.orderBy("it", "row", "col")))  # tiles x steps: set by the grid
+    rows, cols = V.TILE_GRID.chunk_shape(1)
+    pos = ((F.col("it") * rows + F.col("row")) * cols + F.col("col") + 1).cast("int")  # the grid is full: no sort is needed
+    return out.select("it", "row", "col", grid.patch_id(F.col("row"), F.col("col"), F.col("it")).alias("patch_id"), pos.alias("pos"))
 
 
 # Items
@@ -354,18 +354,14 @@ def item_search(spark, sf_dir):
     return pruning.at_time(out, F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz")).select("id", "collection")
 
 
-@query("""SELECT o_orderkey AS item, c_custkey AS request FROM (SELECT o_orderkey, o_orderdate AS t0, greatest(max(l_shipdate), o_orderdate + INTERVAL 5 DAY) AS t1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) i
-    JOIN (SELECT c_custkey, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400) AS r0, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400 + 3) AS r1 FROM customer WHERE c_custkey <= 40) r
-    ON t0 <= t1 AND t0 <= r1 AND r0 <= t1""")
+@query("""SELECT c_custkey AS request, count(*) AS n, min(o_orderkey) AS first_item, max(o_orderkey) AS last_item, CAST(sum(o_orderkey) AS BIGINT) AS sum_of_items FROM
+    (SELECT o_orderkey, o_orderdate AS t0, greatest(max(l_shipdate), o_orderdate + INTERVAL 5 DAY) AS t1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) i
+    JOIN (SELECT c_custkey, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400) AS r0, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400 + 3) AS r1 FROM customer) r
+    ON t0 <= t1 AND t0 <= r1 AND r0 <= t1 GROUP BY c_custkey""")
 def items_by_interval(spark, sf_dir):
-    """JOIN-10: items from order date to last ship date, requests of four days. The SQL asks for 40 customers."""
-    return _asked(spark, sf_dir, V.table(spark, sf_dir, "customer").filter("c_custkey <= 40"))
-
-
-@query(ORACLE_SQL["items_by_interval"].replace(" WHERE c_custkey <= 40", ""))
-def items_by_interval_all(spark, sf_dir):
-    """JOIN-10: the same with the requests of all customers."""
-    return _asked(spark, sf_dir, V.table(spark, sf_dir, "customer"))
+    """JOIN-10: items from order date to last ship date, requests of four days; all pairs, summed up by request."""
+    pairs = _asked(spark, sf_dir, V.table(spark, sf_dir, "customer"))
+    return pairs.groupBy("request").agg(F.count("*").alias("n"), F.min("item").alias("first_item"), F.max("item").alias("last_item"), F.sum("item").alias("sum_of_items"))
 
 
 def _asked(spark, sf_dir, customers):
@@ -455,22 +451,15 @@ def clip_cast_u8(spark, sf_dir):
     return c.select("vec_id", ops.clip_cast(F.col("A00") * 40 + 128, F.lit(100.0), F.lit(150.0)).alias("v"))
 
 
-_HOLED = f"(SELECT ix, iy, CASE WHEN (vec_id * 7) % 11 < 3 OR (ix BETWEEN 5 AND 9 AND iy BETWEEN 5 AND 9) THEN NULL ELSE {V.sql_channel('A05')} END AS v FROM {_C} WHERE iy < 20)"
-_HOLED_ALL = _HOLED.replace(" WHERE iy < 20", "")
+_HOLED = f"(SELECT ix, iy, CASE WHEN (vec_id * 7) % 11 < 3 OR (ix BETWEEN 5 AND 9 AND iy BETWEEN 5 AND 9) THEN NULL ELSE {V.sql_channel('A05')} END AS v FROM {_C})"
 
 
 @query(f"""SELECT ix, iy, round(v, 6) AS v FROM {_HOLED} WHERE v IS NOT NULL UNION ALL
     SELECT ix, iy, round(arg_min(w, (d2, jy, jx)), 6) AS v FROM (SELECT g.ix, g.iy, c.v AS w, c.iy AS jy, c.ix AS jx, (c.ix - g.ix) ** 2 + (c.iy - g.iy) ** 2 AS d2
     FROM {_HOLED} g JOIN {_HOLED} c ON g.v IS NULL AND c.v IS NOT NULL) GROUP BY ix, iy""")
 def gap_fill_nearest(spark, sf_dir):
-    """WIN-1: the nearest valid cell; ties by (iy, ix). The SQL has the rows below 20."""
-    return _filled(V.cells(spark, sf_dir, ["A05"]).filter("iy < 20"))
-
-
-@query(ORACLE_SQL["gap_fill_nearest"].replace(_HOLED, _HOLED_ALL))
-def gap_fill_nearest_all(spark, sf_dir):
-    """WIN-1: the same over all cells."""
-    return _filled(V.cells(spark, sf_dir, ["A05"]))
+    """WIN-1: the nearest valid cell; ties by (iy, ix)."""
+    return mosaic.fill_gaps(_holed(V.cells(spark, sf_dir, ["A05"]), F.col("A05")), "v", ["patch_id"]).select("ix", "iy", r6("v").alias("v"))
 
 
 def _holed(c: DataFrame, v: Column) -> DataFrame:
@@ -478,27 +467,14 @@ def _holed(c: DataFrame, v: Column) -> DataFrame:
     return c.select(F.lit("p").alias("patch_id"), "ix", "iy", F.when(hole, F.lit(float("nan"))).otherwise(v).alias("v"))
 
 
-def _filled(c: DataFrame) -> DataFrame:
-    return mosaic.fill_gaps(_holed(c, F.col("A05")), "v", ["patch_id"]).select("ix", "iy", r6("v").alias("v"))
-
-
 @query(f"""WITH h AS (SELECT ix, iy, v * 40 + 128 AS v FROM {_HOLED}), r AS (SELECT min(v) AS lo, max(v) AS hi FROM h),
     f AS (SELECT ix, iy, v FROM h WHERE v IS NOT NULL UNION ALL SELECT ix, iy, arg_min(w, (d2, jy, jx)) FROM
     (SELECT g.ix, g.iy, c.v AS w, c.iy AS jy, c.ix AS jx, (c.ix - g.ix) ** 2 + (c.iy - g.iy) ** 2 AS d2 FROM h g JOIN h c ON g.v IS NULL AND c.v IS NOT NULL) GROUP BY ix, iy)
     SELECT ix, iy, CAST(trunc(greatest(lo, least(v, hi))) AS SMALLINT) AS v FROM f, r""")
 def byte_bands(spark, sf_dir):
-    """ING-13: range, gap fill, clip, cast. The SQL has the rows below 20."""
-    return _bytes(V.cells(spark, sf_dir, ["A05"]).filter("iy < 20"))
-
-
-@query(ORACLE_SQL["byte_bands"].replace(_HOLED, _HOLED_ALL))
-def byte_bands_all(spark, sf_dir):
-    """ING-13: the same over all cells."""
-    return _bytes(V.cells(spark, sf_dir, ["A05"]))
-
-
-def _bytes(c: DataFrame) -> DataFrame:
-    return mosaic.to_byte_bands(_holed(c, F.col("A05") * 40 + 128), ["v"], ["patch_id"]).select("ix", "iy", "v")
+    """ING-13: range, gap fill, clip, cast."""
+    c = _holed(V.cells(spark, sf_dir, ["A05"]), F.col("A05") * 40 + 128)
+    return mosaic.to_byte_bands(c, ["v"], ["patch_id"]).select("ix", "iy", "v")
 
 
 # Telemetry
@@ -641,8 +617,6 @@ def _cube(spark, sf_dir):
 
 
 def _area():
-    from .cube import Area
-
     return Area.box(V.AOI, 3857)
 
 
@@ -727,7 +701,243 @@ def tile_source_load(spark, sf_dir):
     cube = Cube(spark, _folder(spark), d, TileSource(sample_patch))
     cube.create()
     cube.ingest((0.00003, 0.00085, 0.00004, 0.00086), "2021-02-01")
-    from .cube import Area
-
     out = cube.load(Area.box((3.0, 88.0, 7.0, 96.0), 3857), ["2021-03-01", "2022-01-01"], persist=False, overlaps=False)
     return out.select("it", "iy", "ix", "v")
+
+
+# Areas of any form, the log, races, errors
+
+
+UNIT = CubeDef("unit", "A pixel a tile", V.TILE_GRID, 1, (Channel("v", "float64"),))
+
+
+def unit_patch(row: dict) -> pa.Table:
+    return pa.table({"it": pa.array([None], pa.int32()), "iy": pa.array([row["row"]], pa.int32()), "ix": pa.array([row["col"]], pa.int32()), "v": [10.0 * row["row"] + row["col"]]})
+
+
+def _unit_cube(spark, fetch=unit_patch):
+    cube = Cube(spark, _folder(spark), UNIT, TileSource(fetch))
+    cube.create()
+    return cube
+
+
+_ID = "CAST(row AS VARCHAR) || '-' || CAST(col AS VARCHAR)"
+
+
+@query(f"SELECT DISTINCT CAST(t.row AS VARCHAR) || '-' || CAST(t.col AS VARCHAR) AS patch_id, 10.0 * t.row + t.col AS v FROM {_N} t JOIN {_A} a ON {_MEET}")
+def ingest_areas(spark, sf_dir):
+    """JOIN-1, ING-1: a table of areas, all of the customers, through ingest and back."""
+    cube = _unit_cube(spark)
+    cube.ingest(Areas.of_boxes(V.areas(spark, sf_dir), 3857))
+    cells = cube.store.overlaid(cube.store.raw(), False).select("iy", "ix", "v")
+    return cells.select(grid.patch_id(F.col("iy"), F.col("ix")).alias("patch_id"), "v")
+
+
+#: A frame: a square with a square hole, which three by three tiles lie in.
+_FRAME = {"type": "Polygon", "coordinates": [[[0.5, 0.5], [4.5, 0.5], [4.5, 4.5], [0.5, 4.5], [0.5, 0.5]], [[0.9, 0.9], [4.1, 0.9], [4.1, 4.1], [0.9, 4.1], [0.9, 0.9]]]}
+
+
+@query(f"SELECT {_ID} AS patch_id FROM {_N} WHERE x_min < 4.5 AND x_max > 0.5 AND y_min < 4.5 AND y_max > 0.5 AND NOT (x_min >= 0.9 AND x_max <= 4.1 AND y_min >= 0.9 AND y_max <= 4.1)")
+def area_with_hole(spark, sf_dir):
+    """GEO-5, FLT-8: a concave area with a hole takes no tile in the hole."""
+    cube = _unit_cube(spark)
+    return cube.source.patches(cube, Area.geojson(_FRAME, 3857), None, None).select("patch_id")
+
+
+@query("SELECT event_id, 2 AS n_rings, CAST(event_id % 300 AS DOUBLE) AS x_min, CAST(event_id % 300 + 6 AS DOUBLE) AS x_max FROM events")
+def geojson_multipolygons(spark, sf_dir):
+    """SRC-8: features of several polygons."""
+    e = V.table(spark, sf_dir, "events")
+    x = (F.col("event_id") % 300).cast("double")
+    corner = lambda dx, dy: F.array(x + dx, F.lit(float(dy)))
+    square = lambda at: F.array(F.array(corner(at, 0), corner(at + 1, 0), corner(at + 1, 1), corner(at, 1), corner(at, 0)))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.array(square(0), square(5)).alias("coordinates"))
+    feature = F.struct(F.col("event_id").cast("string").alias("id"), geometry.alias("geometry"), F.struct(F.lit(None).cast("string").alias("datetime")).alias("properties"))
+    items = item_sources.parse_features(e.select(F.to_json(feature).alias("j")), "j")
+    box = geom.box(F.col("geometry"))
+    return items.select(F.col("id").cast("long").alias("event_id"), F.size("rings").alias("n_rings"), box["x_min"].alias("x_min"), box["x_max"].alias("x_max"))
+
+
+def flaky_patch(row: dict) -> pa.Table:
+    """unit_patch, which fails as often as the column says before it succeeds."""
+    _TRIED[row["patch_id"]] = _TRIED.get(row["patch_id"], 0) + 1
+    if _TRIED[row["patch_id"]] <= row["col"]:
+        raise OSError("not yet")
+    return unit_patch(row)
+
+
+_TRIED: dict[str, int] = {}
+
+
+@query(f"""SELECT {_ID} AS patch_id, 'start_download_try' || CAST(i AS VARCHAR) AS action FROM {_N}, range(0, 5) t(i) WHERE row = 1 AND i <= col
+    UNION ALL SELECT {_ID}, unnest(['end_download_try' || CAST(col AS VARCHAR), 'start_write', 'end_write']) FROM {_N} WHERE row = 1""")
+def ingest_log(spark, sf_dir):
+    """ING-6, ING-10: the log of an ingest whose fetches fail up to four times."""
+    key = uuid.uuid4().hex
+
+    def fetch(row: dict) -> pa.Table:
+        return flaky_patch(row | {"patch_id": key + row["patch_id"]})
+
+    cube = _unit_cube(spark, fetch)
+    cube.ingest(Area.box((0.1, 3.1, 4.9, 3.9), 3857))
+    return cube.event_log().select("action", "patch_id")
+
+
+@query(f"SELECT {_ID} AS patch_id, 1::BIGINT AS n, CASE WHEN col < 2 THEN 1 ELSE 2 END::BIGINT AS commit_seq FROM {_N} WHERE row = 0")
+def lost_race(spark, sf_dir):
+    """ING-8, Q-15: a commit that another writer forestalls is tried again without what that one brought."""
+    cube = _unit_cube(spark)
+
+    class Slow(Store):
+        def write_fragment(self, cells):
+            out = super().write_fragment(cells)
+            if not Store(spark, self.path).snapshot():
+                Store(spark, self.path).commit(["0-0", "0-1"], super().write_fragment(cells.filter("ix < 2")))
+            return out
+
+    cube.store = Slow(spark, cube.store.path)
+    cube.ingest(Area.box((0.1, 4.1, 4.9, 4.9), 3857))
+    cells = cube.open().select("iy", "ix").join(cube.store.manifest().withColumn("p", grid.parse_patch_id(F.col("patch_id"))), (F.col("iy") == F.col("p.row")) & (F.col("ix") == F.col("p.col")))
+    return cells.groupBy("patch_id", "commit_seq").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_ID} AS patch_id, CASE WHEN col < 3 THEN 2.0 ELSE 1.0 END AS v FROM {_N} WHERE row = 2")
+def compaction_race(spark, sf_dir):
+    """Q-2: what is committed while a compaction runs lies over it."""
+    cube = _unit_cube(spark)
+    line = V.tiles(spark, sf_dir).filter("row = 2").select(F.lit(None).cast("int").alias("it"), F.col("row").alias("iy"), F.col("col").alias("ix"))
+    write = lambda name, v, cells: cube.store.commit([name], Store(spark, cube.store.path).write_fragment(cells.select(F.lit(name).alias("patch_id"), "*", F.lit(v).alias("v"))))
+
+    class Slow(Store):
+        def write_fragment(self, cells):
+            out = super().write_fragment(cells)
+            write("b", 2.0, line.filter("ix < 3"))
+            return out
+
+    write("a", 1.0, line)
+    Slow(spark, cube.store.path).compact()
+    return cube.open().select(grid.patch_id(F.col("iy"), F.col("ix")).alias("patch_id"), "v")
+
+
+@query("SELECT it, row AS iy, col AS ix, CASE WHEN it = 1 AND row = 1 AND col BETWEEN 1 AND 3 THEN 1034.0 + col ELSE -1.0 END AS v FROM (SELECT unnest([0, 1])::INTEGER AS it), "
+       f"{_N} WHERE row BETWEEN 0 AND 2")
+def filled_steps(spark, sf_dir):
+    """Q-1: a filled read has every requested step, also one without cells."""
+    d = CubeDef("timed", "Steps", V.TILE_GRID, 1, (Channel("v", "float64"),), ("2020-01-01", "2021-01-01", "2022-01-01"))
+
+    def fetch(row: dict) -> pa.Table:
+        return pa.table({"it": pa.array([row["it"]], pa.int32()), "iy": pa.array([row["row"]], pa.int32()), "ix": pa.array([row["col"]], pa.int32()), "v": [1000.0 * row["it"] + 34.0 * row["row"] + row["col"]]})
+
+    cube = Cube(spark, _folder(spark), d, TileSource(fetch))
+    cube.create()
+    cube.ingest(Area.box((1.1, 3.1, 3.9, 3.9), 3857), "2021-01-01")
+    out = cube.load(Area.box((0.1, 2.1, 4.9, 4.9), 3857), ["2020-01-01", "2021-01-01"], snapshot=cube.store.snapshot(), fill=-1, persist=False)
+    return out.select("it", "iy", "ix", "v")
+
+
+@query("SELECT r_name AS name, false AS before, true AS after, 0::BIGINT AS commits, 'c' || CAST(r_regionkey AS VARCHAR) AS channel, r_name AS note FROM region")
+def stores(spark, sf_dir):
+    """SRC-1, SNK-1, SNK-7, FLT-15: stores are made, opened again, and give their definition and attributes back."""
+    rows = []
+    for r in V.table(spark, sf_dir, "region").collect():  # five rows
+        name = f"c{r['r_regionkey']}"
+        made = Cube(spark, _folder(spark), CubeDef(r["r_name"], r["r_name"], V.TILE_GRID, 1, (Channel(name, "float32", {"note": r["r_name"]}),)))
+        before = made.created
+        made.create()
+        made.create(exists_ok=True)
+        again = Cube(spark, made.store.path)
+        field = again.definition.channels[0].field()
+        rows.append((again.definition.name, before, again.created, again.store.snapshot(), field.name, field.metadata["note"]))
+    return spark.createDataFrame(rows, "name string, before boolean, after boolean, commits long, channel string, note string")
+
+
+def _error(f: Callable) -> str:
+    try:
+        f()
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+    return "none"
+
+
+@query("""SELECT * FROM (VALUES ('another commit', 'ConflictError'), ('created twice', 'FileExistsError'), ('created twice, exists_ok', 'none'), ('no area', 'TypeError'), ('no patch there', 'ValueError'),
+    ('no source', 'ValueError'), ('no time', 'ValueError'), ('not created', 'NotCreatedError'), ('search by a list', 'ValueError'), ('state of nothing', 'ValueError'), ('time on a plain cube', 'ValueError'), ('unequal pixels', 'ValueError')) t(what, error)""")
+def errors(spark, sf_dir):
+    """FLT-14, FN-9, Q-17, Q-18, Q-24, GEO-1: what is refused, and how."""
+    cube, none = _unit_cube(spark), Cube(spark, _folder(spark), UNIT)
+    cube.store.commit(["x"], "no fragment")
+    cases = {
+        "another commit": lambda: cube.store.commit(["y"], "none", base=0),
+        "created twice": lambda: cube.create(),
+        "created twice, exists_ok": lambda: cube.create(overwrite=True, exists_ok=True),
+        "no area": lambda: Area.of("somewhere"),
+        "no patch there": lambda: cube.ingest(Area.box((90, 90, 91, 91), 3857)),
+        "no source": lambda: Cube(spark, cube.store.path).ingest(Area.box((0, 0, 1, 1), 3857)),
+        "no time": lambda: toi.describe(1.5),
+        "not created": lambda: none.load(Area.box((0, 0, 1, 1), 3857)),
+        "search by a list": lambda: toi.time_range(["2020-01-01"]),
+        "state of nothing": lambda: none.visualize_state(),
+        "time on a plain cube": lambda: cube.load(Area.box((0, 0, 1, 1), 3857), "2020-01-01"),
+        "unequal pixels": lambda: grid.GridSpec.from_shape((0, 0, 2, 1), 4, 4, 3857),
+    }
+    return spark.createDataFrame([(k, _error(f)) for k, f in cases.items()], "what string, error string")
+
+
+@query("""SELECT n_nationkey, 'GridSpec(' || CAST(k + 1 AS VARCHAR) || ' x ' || CAST(2 * k + 1 AS VARCHAR) || ' at 0.50m, EPSG:3857)' AS text, 2 * k + 1 AS nx, k + 1 AS ny, k / 2.0 AS x0, (k + 1) / 2.0 + 1 AS y_top
+    FROM (SELECT n_nationkey, CAST(n_nationkey AS INTEGER) AS k FROM nation)""")
+def grids(spark, sf_dir):
+    """GEO-1, GEO-2, FN-7: grids of boxes, snapped outwards, their extents and texts."""
+    rows = []
+    for r in V.table(spark, sf_dir, "nation").collect():  # 25 rows
+        k = r["n_nationkey"]
+        g = grid.GridSpec.from_bbox((k / 2 + 0.1, 1.1, k / 2 + 0.1 + k + 0.3, 1.1 + k / 2 + 0.3), 0.5, 3857)
+        left, _, right, top = g.bbox
+        same = grid.GridSpec.from_shape(g.bbox, g.nx, g.ny, 3857)
+        assert g.ring()[2] == (right, top) and same == g
+        rows.append((k, str(g), g.nx, g.ny, left, top))
+    return spark.createDataFrame(rows, "n_nationkey int, text string, nx int, ny int, x0 double, y_top double")
+
+
+@query("""SELECT * FROM (VALUES ('all', 'all times', NULL, NULL), ('instant', '2020-02-03', '2020-02-03', '2020-02-03'), ('list', '2020-02-03, 2021-01-01', NULL, NULL), ('long list', '4 times', NULL, NULL), ('slice', '2020-01-01 to 2021-06-01', '2020-01-01', '2021-06-01')) t(what, text, low, high)""")
+def times_of_interest(spark, sf_dir):
+    """FN-9, FN-18: texts of times, and what a search filters by."""
+    cases = {"all": None, "instant": "2020-02-03", "slice": slice("2020-01-01", "2021-06-01"), "list": ["2020-02-03", "2021-01-01"], "long list": pd.date_range("2020-01-01", periods=4)}
+    rows = []
+    for what, when in cases.items():
+        span = None if "list" in what else toi.time_range(when)
+        low, high = span if isinstance(span, tuple) else (span, span)
+        rows.append((what, toi.describe(when), *[None if t is None else f"{t:%Y-%m-%d}" for t in (low, high)]))
+    return spark.createDataFrame(rows, "what string, text string, low string, high string")
+
+
+@query(_on_days("TIMESTAMP '2024-01-06', TIMESTAMP '2024-01-16'"))
+def toi_index(spark, sf_dir):
+    """Q-6: an index of times works like a list."""
+    return _by_steps(spark, sf_dir, pd.DatetimeIndex(["2024-01-05", "2024-01-17", "2024-01-15"]))
+
+
+_POLAR = f"(SELECT c_custkey, round(rho * sin(radians(lon + 45)), 3) AS x, round(-rho * cos(radians(lon + 45)), 3) AS y, lon FROM (SELECT *, {crs.A * crs.SCALE!r} * ({_T.format('radians(lat)')}) AS rho FROM (SELECT c_custkey, c_custkey * 37 % 3600 / 10.0 - 180 AS lon, 60 + c_custkey * 53 % 250 / 10.0 AS lat FROM customer)))"
+
+
+@query(f"SELECT c_custkey, lon > 0 AS east FROM {_POLAR} WHERE x - 500 < -1000000 AND x + 500 > -2000000 AND y - 500 < 2000000 AND y + 500 > 1000000")
+def polar_search(spark, sf_dir):
+    """GEO-8, SRC-11, SRC-13, EXT-1: an index in the polar system finds both sides of the antimeridian by one polygon."""
+    c = V.table(spark, sf_dir, "customer")
+    c = c.select("c_custkey", (F.col("c_custkey") * 37 % 3600 / 10.0 - 180).alias("lon"), (F.col("c_custkey") * 53 % 250 / 10.0 + 60).alias("lat"))
+    x, y = (F.round(v, 3) for v in crs.reproject(F.col("lon"), F.col("lat"), 4326, 3413))
+    boxes = c.select(F.col("c_custkey").cast("string").alias("id"), (x - 500).alias("x_min"), (y - 500).alias("y_min"), (x + 500).alias("x_max"), (y + 500).alias("y_max"))
+    boxes = boxes.withColumn("geometry", geom.box_ring(*[F.col(n) for n in ("x_min", "y_min", "x_max", "y_max")]))
+    path = f"{_folder(spark)}-index"
+    source = item_sources.IndexSource(path, unit_patch, lambda i: F.concat(F.lit("https://example.org/"), i), lambda: boxes.write.parquet(path))
+    cube = Cube(spark, _folder(spark), CubeDef("polar", "Polar", grid.GridSpec(-4e6, 4e6, 1000.0, 8000, 8000, 3413), 100, (Channel("v", "float64"),)), source)
+    cube.create()
+    found = source.patches(cube, Area.box((-2e6, 1e6, -1e6, 2e6), 3413), None, None).select(F.col("patch_id").cast("long").alias("c_custkey"))
+    return found.join(c, "c_custkey").select("c_custkey", (F.col("lon") > 0).alias("east"))
+
+
+@query(f"SELECT 'unit' AS name, 25::BIGINT AS cells, 1 AS channels, 200::BIGINT AS bytes, count(*) AS patches, 1 AS commits FROM {_N} WHERE row = 3")
+def cube_stats(spark, sf_dir):
+    """FN-10: the numbers of the log line."""
+    cube = _unit_cube(spark)
+    cube.ingest(Area.box((0.1, 1.1, 4.9, 1.9), 3857))
+    s = cube.stats()
+    return spark.createDataFrame([tuple(s.values())], "name string, cells long, channels int, bytes long, patches long, commits int")

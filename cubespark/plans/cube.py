@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -14,17 +17,21 @@ from ..functions.grid import BBox, GridSpec
 from ..functions.grid import Window as Pixels
 from ..operators import cells as ops
 from ..operators.pruning import missing
-from ..sources.base import Source
+from ..sources.base import EVENT, Events, Source
 from .definitions import CubeDef
 from .store import NotCreatedError, Store
 
 
+logger = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Area:
-    """A polygon as a ring of points in some CRS."""
+    """A polygon as a ring of points in some CRS, with holes or further polygons as more rings (by the even-odd rule)."""
 
     ring: tuple[tuple[float, float], ...]
     epsg: int = 4326
+    more: tuple[tuple[tuple[float, float], ...], ...] = ()
 
     @classmethod
     def box(cls, bbox: BBox, epsg: int = 4326) -> Area:
@@ -32,27 +39,82 @@ class Area:
         return cls(((left, bottom), (right, bottom), (right, top), (left, top)), epsg)
 
     @classmethod
-    def of(cls, aoi: Area | GridSpec | BBox) -> Area:
+    def geojson(cls, geometry: dict, epsg: int = 4326) -> Area:
+        """A GeoJSON Polygon or MultiPolygon."""
+        polygons = {"Polygon": lambda c: [c], "MultiPolygon": list}[geometry["type"]](geometry["coordinates"])
+        rings = [tuple((float(p[0]), float(p[1])) for p in ring[:-1]) for polygon in polygons for ring in polygon]
+        return cls(rings[0], epsg, tuple(rings[1:]))
+
+    @classmethod
+    def of(cls, aoi: Area | GridSpec | BBox | dict) -> Area:
         if isinstance(aoi, Area):
             return aoi
         if isinstance(aoi, GridSpec):
             return cls(tuple(aoi.ring()), aoi.epsg)
         if isinstance(aoi, tuple) and len(aoi) == 4:
             return cls.box(aoi)
+        if isinstance(aoi, dict):
+            return cls.geojson(aoi)
         raise TypeError(f"not an area: {type(aoi).__name__}")
 
+    @property
+    def rings(self) -> list[list[tuple[float, float]]]:
+        return [list(self.ring), *map(list, self.more)]
+
+    @property
+    def parts(self) -> list[list[tuple[float, float]]]:
+        return geom.convex_parts(self.rings)
+
     def to(self, epsg: int) -> Area:
-        return Area(tuple(crs.reproject_ring(list(self.ring), self.epsg, epsg)), epsg)
+        first, *more = (tuple(crs.reproject_ring(r, self.epsg, epsg)) for r in self.rings)
+        return Area(first, epsg, tuple(more))
 
     @property
     def bbox(self) -> BBox:
-        return geom.bounds(list(self.ring))
+        return geom.bounds([p for r in self.rings for p in r])
+
+
+@dataclass(frozen=True)
+class Areas:
+    """A table of areas, each a row with a list of rings (ARRAY<ARRAY<STRUCT<x, y>>>), of any number of rows."""
+
+    table: DataFrame
+    epsg: int = 4326
+    column: str = "rings"
+
+    @classmethod
+    def of_boxes(cls, table: DataFrame, epsg: int = 4326) -> Areas:
+        """From columns x_min, y_min, x_max and y_max."""
+        return cls(table.select(F.array(geom.box_ring(*[F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")])).alias("rings")), epsg)
+
+    def to(self, epsg: int) -> Areas:
+        if epsg == self.epsg:
+            return self
+        moved = lambda p: (lambda x, y: F.struct(x.alias("x"), y.alias("y")))(*crs.reproject(p["x"], p["y"], self.epsg, epsg))
+        return Areas(self.table.select(F.transform(self.column, lambda r: F.transform(r, moved)).alias("rings")), epsg)
+
+    def boxed(self) -> DataFrame:
+        """x_min, y_min, x_max, y_max and the convex parts of each area."""
+        rows = self.table.select(F.col(self.column).alias("rings")).filter("size(rings) > 0")
+        return geom.with_parts(rows.select("rings", *[c.alias(n) for n, c in geom.box(F.flatten("rings")).items()]), "rings", "parts").drop("rings")
+
+    @property
+    def bbox(self) -> BBox:
+        found = self.boxed().agg(F.min("x_min"), F.min("y_min"), F.max("x_max"), F.max("y_max")).first()
+        if found[0] is None:
+            raise ValueError("a table of areas without rows")
+        return tuple(found)
+
+
+def as_area(aoi) -> Area | Areas:
+    return aoi if isinstance(aoi, Areas) else Area.of(aoi)
 
 
 class Cube:
     def __init__(self, spark: SparkSession, path: str, definition: CubeDef | None = None, source: Source | None = None):
         self.spark, self.store, self.source = spark, Store(spark, path), source
         self._definition = definition
+        self.log = spark.sparkContext.accumulator([], Events())
         self.post_init()
 
     # Hooks for subclasses
@@ -105,13 +167,15 @@ class Cube:
             out = out.join(F.broadcast(toi.axis_table(self.spark, self.definition.axis)), "it").withColumnRenamed("t", "time")
         return out.select(*["time"] * self.is_temporal, "y", "x", *["it"] * self.is_temporal, "iy", "ix", *self.definition.channel_names)
 
-    def window(self, aoi: Area | GridSpec | BBox, buffer: int = 0) -> Pixels:
+    def window(self, aoi: Area | Areas | GridSpec | BBox | dict, buffer: int = 0) -> Pixels:
         d = self.definition
-        return d.grid.window.meet(d.grid.window_of(Area.of(aoi).to(d.grid.epsg).bbox).grow(buffer))
+        return d.grid.window.meet(d.grid.window_of(as_area(aoi).to(d.grid.epsg).bbox).grow(buffer))
 
     def load(self, aoi, when: toi.Toi = None, channels: list[str] | None = None, persist: bool = True, create: bool = False, buffer: int = 0, fill: float | None = None, snapshot: int | None = None, overlaps: bool = True) -> DataFrame:
         """Cells of an area (its bounding pixel window, on the cube's own grid) and time, after ingesting what is missing.
 
+        aoi: a polygon with or without holes, several polygons, a box, a grid, GeoJSON, or a table of areas (Areas): then the
+        patches that any of them meets are ingested, and the window is that of all.
         channels: which to read (all by default). persist: keep the result in memory and compute it now; else it is lazy.
         buffer: pixels around the window. fill: give pixels that were never written, at each requested step, this value and a
         row; otherwise only written cells have rows. snapshot: read this commit and ingest nothing. overlaps=False spares the overlay when a
@@ -170,10 +234,34 @@ class Cube:
                 if patches.isEmpty():
                     raise ValueError("no patch of the source meets the area and time")
                 return []
-            return self.store.write_patches(ids, self.source.cells(self, new), base=base)
+            self._note("start_write", ids)
+            done = self.store.write_patches(ids, self.source.cells(self, new), base=base)
+            self._note("end_write", done)
+            logger.info("%s: %d patches committed, %d of the request were there", self.definition.name, len(done), patches.count() - len(done))
+            return done
         finally:
             patches.unpersist()
 
+    def _note(self, action: str, ids: list[str]) -> None:
+        now, who = datetime.now(timezone.utc), threading.current_thread()
+        self.log.add([(action, p, now, who.ident, who.name) for p in ids])
+
+    def event_log(self) -> DataFrame:
+        """What this object's ingests did: action, patch_id, time, thread_id and thread_name of each try of each download
+        and of each write, as operators.telemetry takes them."""
+        return self.spark.createDataFrame(list(self.log.value), EVENT)
+
+    def stats(self) -> dict[str, int | str]:
+        """Size of the cube and what is in it, as a log line wants it."""
+        d = self.definition
+        patches = self.store.manifest().count() if self.created else 0
+        steps = len(d.times) if d.times else 1
+        cells = d.grid.nx * d.grid.ny * steps
+        size = sum(cells * c.width for c in d.channels)
+        out = {"name": d.name, "cells": cells, "channels": len(d.channels), "bytes": size, "patches": patches, "commits": self.store.snapshot() if self.created else 0}
+        logger.info("%(name)s: %(cells)d cells, %(channels)d channels, %(bytes)d bytes dense, %(patches)d patches in %(commits)d commits", out)
+        return out
+
     def current_state(self) -> DataFrame | None:
         """The ingested patches with geometry (and epsg, time), or None if there are none."""
         if not self.created or not self.store.snapshot():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 
@@ -21,6 +22,11 @@ class Channel:
     dtype: str = "float32"
     meta: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def width(self) -> int:
+        """Bytes of a dense cell."""
+        return np.dtype(self.dtype).itemsize
+
     def field(self) -> T.StructField:
         return T.StructField(self.name, TYPES[self.dtype], True, dict(self.meta))
 

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from typing import TYPE_CHECKING
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator, AccumulatorParam
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geom, toi
 from ..functions.grid import parse_patch_id, patch_id
-from ..operators.pruning import patch_steps
+from ..operators.pruning import patch_steps, tiles_for_areas
 
 if TYPE_CHECKING:
-    from ..plans.cube import Cube
+    from ..plans.cube import Area, Areas, Cube
 
 #: Gets a patch row as a dict; returns a table with it, iy, ix and the channels.
 Fetch = Callable[[dict], pa.Table]
@@ -48,23 +50,38 @@ class Source:
         raise NotImplementedError
 
 
-def fetched(patches: DataFrame, fetch: Fetch, schema: T.StructType, tries: int = TRIES, pause: float = 0.0, events: bool = False) -> DataFrame:
+EVENT = "action STRING, patch_id STRING, time TIMESTAMP, thread_id BIGINT, thread_name STRING"
+
+
+class Events(AccumulatorParam):
+    """A list of events that tasks add to; a task that runs again adds its own."""
+
+    def zero(self, value: list) -> list:
+        return []
+
+    def addInPlace(self, value1: list, value2: list) -> list:
+        value1.extend(value2)
+        return value1
+
+
+def fetched(patches: DataFrame, fetch: Fetch, schema: T.StructType, tries: int = TRIES, pause: float = 0.0, log: Accumulator | None = None) -> DataFrame:
     """The cells of patches by a Python function, one task a patch. A failing fetch is tried again, `tries` times in all.
 
-    With `events`, rows of the event log come instead of cells: start_ and end_ of each try of each download.
+    `log`, an accumulator of Events, gets start_ and end_ of each try of each download: some rows a patch of the request.
     """
     names = patches.columns
-    out = T.StructType.fromDDL("action STRING, patch_id STRING, time TIMESTAMP, thread_id BIGINT, thread_name STRING") if events else T.StructType([T.StructField("patch_id", T.StringType()), *schema.fields])
+    out = T.StructType([T.StructField("patch_id", T.StringType()), *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, log, who = to_arrow_schema(out), [], f"worker-{os.getpid()}"
+        target, who = to_arrow_schema(out), f"worker-{os.getpid()}"
 
         def note(action: str, patch: str) -> None:
-            log.append((action, patch, pd.Timestamp.now(tz="UTC"), os.getpid(), who))
+            if log is not None:
+                log.add([(action, patch, datetime.now(timezone.utc), os.getpid(), who)])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -78,21 +95,28 @@ def fetched(patches: DataFrame, fetch: Fetch, schema: T.StructType, tries: int =
                         if i + 1 == tries:
                             raise SourceError(f"patch {row['patch_id']}: no success in {tries} tries") from e
                         time.sleep(pause)
-                if not events:
-                    table = table.append_column("patch_id", pa.array([row["patch_id"]] * table.num_rows, pa.string()))
-                    yield from table.select(target.names).cast(target).to_batches()
-        if events and log:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)).cast(t.type) for c, t in zip(zip(*log, strict=True), target, strict=True)], schema=target)
+                table = table.append_column("patch_id", pa.array([row["patch_id"]] * table.num_rows, pa.string()))
+                yield from table.select(target.names).cast(target).to_batches()
 
     n = max(1, patches.count())
     return patches.select(names).repartition(n, "patch_id").mapInArrow(run, out)
 
 
-def overlap_filter(patches: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Patches whose box meets the polygon's box (which the scan can use), and whose ring meets the convex polygon."""
-    left, bottom, right, top = geom.bounds(ring)
-    boxes = (F.col("x_min") < right) & (F.col("x_max") > left) & (F.col("y_min") < top) & (F.col("y_max") > bottom)
-    return patches.filter(boxes).filter(geom.convex_meet(F.col("geometry"), geom.ring(ring)))
+def overlap_filter(patches: DataFrame, area: Area | Areas) -> DataFrame:
+    """Patches (convex rings in the area's CRS) that meet the area: by box first, which the scan can use, then by form.
+
+    With a table of areas that is a join on bins, as wide as the widest patch; each patch comes once.
+    """
+    from ..plans.cube import Areas
+
+    if not isinstance(area, Areas):
+        left, bottom, right, top = area.bbox
+        boxes = (F.col("x_min") < right) & (F.col("x_max") > left) & (F.col("y_min") < top) & (F.col("y_max") > bottom)
+        return patches.filter(boxes).filter(geom.any_meets(area.parts, F.col("geometry")))
+    size = patches.agg(F.max(F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")))).first()[0]
+    if not size:
+        return patches.limit(0)
+    return tiles_for_areas(patches, area.boxed(), size, ["patch_id"], tile_ring="geometry", area_parts="parts")
 
 
 class TileSource(Source):
@@ -107,12 +131,12 @@ class TileSource(Source):
         self.fetch = fetch
 
     def patches(self, cube: Cube, aoi, steps: pd.DatetimeIndex | None, when: toi.Toi) -> DataFrame:
-        from ..plans.cube import Area
+        from ..plans.cube import as_area
 
         d = cube.definition
         tiles = d.grid.tiles(cube.spark, d.chunk, cube.window(aoi))
         tiles = tiles.withColumn("geometry", geom.box_ring(*[F.col(c) for c in ("x_min", "y_min", "x_max", "y_max")]))
-        tiles = overlap_filter(tiles, list(Area.of(aoi).to(d.grid.epsg).ring))
+        tiles = overlap_filter(tiles.withColumn("patch_id", patch_id(F.col("row"), F.col("col"))), as_area(aoi).to(d.grid.epsg))
         step: Column | None = None
         if steps is not None:
             positions = d.axis.get_indexer(steps)
@@ -130,7 +154,7 @@ class TileSource(Source):
         )
 
     def cells(self, cube: Cube, patches: DataFrame) -> DataFrame:
-        return fetched(patches.drop("geometry", "item", "patch_order"), self.fetch, cube.definition.cell_schema())
+        return fetched(patches.drop("geometry", "item", "patch_order"), self.fetch, cube.definition.cell_schema(), log=cube.log)
 
     def state(self, cube: Cube, manifest: DataFrame) -> DataFrame:
         d = cube.definition

@@ -17,13 +17,18 @@ from ..operators.pruning import at_time, by_ids, instant_or_range
 from .base import Fetch, Source, fetched, overlap_filter
 
 if TYPE_CHECKING:
-    from ..plans.cube import Cube
+    from ..plans.cube import Area, Areas, Cube
 
-FEATURE = "struct<id:string,collection:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<datetime:string,start_datetime:string,end_datetime:string>,assets:map<string,struct<href:string>>>"
+#: The coordinates stay text until the type says how deep they are.
+FEATURE = "struct<id:string,collection:string,geometry:struct<type:string,coordinates:string>,properties:struct<datetime:string,start_datetime:string,end_datetime:string>,assets:map<string,struct<href:string>>>"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Items of GeoJSON feature collections: id, collection, geometry, datetime, start_datetime, end_datetime, item."""
+    """Items of GeoJSON feature collections: id, collection, geometry, rings, datetime, start_datetime, end_datetime, item.
+
+    `rings` has all rings of a Polygon or MultiPolygon, `geometry` the convex hull's stand-in for searches: the ring itself
+    if it is the only one, else the box of all.
+    """
     files = spark.read.schema(f"type string, features array<{FEATURE}>").json(path, multiLine=True)
     return items_of(files.select(F.explode("features").alias("f")))
 
@@ -34,13 +39,20 @@ def parse_features(df: DataFrame, column: str) -> DataFrame:
 
 
 def items_of(features: DataFrame) -> DataFrame:
-    outer = F.element_at("f.geometry.coordinates", 1)
-    closed = F.slice(outer, 1, F.greatest(F.size(outer) - 1, F.lit(0)))  # GeoJSON repeats the first point
+    text, polygon = F.col("f.geometry.coordinates"), "array<array<array<double>>>"
+    several = F.flatten(F.from_json(text, f"array<{polygon}>"))
+    read = F.when(F.col("f.geometry.type") == "MultiPolygon", several).otherwise(F.from_json(text, polygon))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    opened = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), point)  # noqa: E731  GeoJSON repeats the first point
+    rings = F.transform(read, opened)
+    hull = geom.box(F.flatten(rings))
+    whole = geom.box_ring(*[hull[c] for c in ("x_min", "y_min", "x_max", "y_max")])
     time = lambda c: F.to_timestamp(F.col(f"f.properties.{c}")).cast("timestamp_ntz").alias(c)
     return features.select(
         F.col("f.id").alias("id"),
         F.col("f.collection").alias("collection"),
-        F.transform(closed, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("geometry"),
+        F.when(F.size(rings) == 1, F.element_at(rings, 1)).otherwise(whole).alias("geometry"),
+        rings.alias("rings"),
         time("datetime"),
         time("start_datetime"),
         time("end_datetime"),
@@ -60,7 +72,7 @@ class ItemSource(Source):
     def __init__(self, items: DataFrame, fetch: Fetch, collection: str | None = None):
         self.items, self.fetch, self.collection = items, fetch, collection
 
-    def search(self, ring: list[tuple[float, float]] | None = None, when: toi.Toi = None, ids: DataFrame | None = None) -> DataFrame:
+    def search(self, area: Area | Areas | None = None, when: toi.Toi = None, ids: DataFrame | None = None) -> DataFrame:
         found = self.items if self.collection is None else self.items.filter(F.col("collection") == self.collection)
         if ids is not None:
             found = by_ids(found, ids, "id")
@@ -69,15 +81,15 @@ class ItemSource(Source):
         if span is not None:
             low, high = span if isinstance(span, tuple) else (span, span)
             out = at_time(out, F.lit(low.to_pydatetime()).cast("timestamp_ntz"), F.lit(high.to_pydatetime()).cast("timestamp_ntz"), "t_start", "t_end")
-        return out if ring is None else overlap_filter(out, ring)
+        return out if area is None else overlap_filter(out, area)
 
     def patches(self, cube: Cube, aoi, steps: pd.DatetimeIndex | None, when: toi.Toi) -> DataFrame:
-        from ..plans.cube import Area
+        from ..plans.cube import as_area
 
-        return self.search(list(Area.of(aoi).to(4326).ring), when if cube.is_temporal else None)
+        return self.search(as_area(aoi).to(4326), when if cube.is_temporal else None)
 
     def cells(self, cube: Cube, patches: DataFrame) -> DataFrame:
-        return fetched(patches.drop("geometry", "patch_order"), self.fetch, cube.definition.cell_schema())
+        return fetched(patches.drop("geometry", "patch_order"), self.fetch, cube.definition.cell_schema(), log=cube.log)
 
     def state(self, cube: Cube, manifest: DataFrame) -> DataFrame:
         ids = manifest.select(F.col("patch_id").alias("id"))
@@ -120,12 +132,12 @@ class IndexSource(Source):
         return self._index
 
     def patches(self, cube: Cube, aoi, steps: pd.DatetimeIndex | None, when: toi.Toi) -> DataFrame:
-        from ..plans.cube import Area
+        from ..plans.cube import as_area
 
         cube.store.assert_created()
-        area = Area.of(aoi).to(cube.definition.grid.epsg)
+        area = as_area(aoi).to(cube.definition.grid.epsg)
         none = F.lit(None).cast("timestamp_ntz")
-        found = overlap_filter(self.index(cube.spark), list(area.ring))
+        found = overlap_filter(self.index(cube.spark).withColumn("patch_id", F.col("id")), area)
         return found.select(F.col("id").alias("patch_id"), F.col("id").alias("patch_order"), "x_min", "y_min", "x_max", "y_max", "geometry", none.alias("t_start"), none.alias("t_end"), F.create_map(F.lit("url"), self.url(F.col("id"))).alias("item"))
 
     cells = ItemSource.cells

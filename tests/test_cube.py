@@ -1,6 +1,8 @@
 """The store, cubes and sources, end to end."""
 
 import json
+import logging
+import os
 import threading
 
 import pandas as pd
@@ -10,11 +12,11 @@ from pyspark.sql import functions as F
 
 from cubespark.functions import crs
 from cubespark.functions.grid import GridSpec
-from cubespark.plans.cube import Area, Cube
+from cubespark.plans.cube import Area, Areas, Cube
 from cubespark.plans.definitions import Channel, CubeDef
 from cubespark.plans.store import ConflictError, NotCreatedError, Store
 from cubespark.sources import items, python_source
-from cubespark.sources.base import SourceError, TileSource, fetched
+from cubespark.sources.base import Events, SourceError, TileSource, fetched
 from cubespark.streaming.ingest import ingest_stream
 
 GRID = GridSpec(0.0, 20.0, 1.0, 20, 20, 3857)
@@ -113,6 +115,41 @@ def test_load_like_with_buffer(spark, cube):
     assert got == {(iy, ix) for iy in range(1, 5) for ix in range(1, 5)}
 
 
+U_SHAPE = ((1.0, 1.0), (19.0, 1.0), (19.0, 19.0), (16.0, 19.0), (16.0, 4.0), (4.0, 4.0), (4.0, 19.0), (1.0, 19.0))
+
+
+def test_concave_areas_and_holes(cube):
+    sides = [f"{r}-{c}" for r in range(4) for c in range(4) if c in (0, 3) or r == 3]
+    assert sorted(cube.ingest(Area(U_SHAPE, 3857))) == sides
+    frame = {"type": "Polygon", "coordinates": [[[1, 1], [19, 1], [19, 19], [1, 19], [1, 1]], [[5, 5], [15, 5], [15, 15], [5, 15], [5, 5]]]}
+    assert sorted(cube.ingest(Area.geojson(frame, 3857))) == ["0-1", "0-2"]
+    both = {"type": "MultiPolygon", "coordinates": [[[[6, 11], [9, 11], [9, 14], [6, 11]]], [[[11, 6], [14, 6], [14, 9], [11, 6]]]]}
+    assert sorted(cube.ingest(Area.geojson(both, 3857))) == ["1-1", "2-2"]
+    assert cube.load(Area.geojson(both, 3857), persist=False).count() == 32  # 4 x 4 pixels of either patch are in the window
+
+
+def test_tables_of_areas(spark, cube):
+    boxes = spark.createDataFrame([(1.0, 16.0, 2.0, 17.0), (1.5, 16.5, 6.0, 17.0), (16.0, 1.0, 17.0, 2.0)], "x_min double, y_min double, x_max double, y_max double")
+    areas = Areas.of_boxes(boxes, 3857)
+    assert sorted(cube.ingest(areas)) == ["0-0", "0-1", "3-3"]
+    assert cube.load(areas, persist=False).count() == 2 * 4 + 2 * 5 + 4 * 2 and cube.store.loaded_patches() == ["0-0", "0-1", "3-3"]
+    rings = spark.createDataFrame([([[(x, y) for x, y in U_SHAPE]],)], "rings array<array<struct<x:double,y:double>>>")
+    assert len(cube.ingest(Areas(rings, 3857))) == 8
+    lonlat = Areas(rings.selectExpr("transform(rings, r -> transform(r, p -> named_struct('x', p.x / 111319.49079327358, 'y', p.y / 111319.49079327358))) AS rings"))
+    assert cube.ingest(lonlat) == []
+    with pytest.raises(ValueError):
+        cube.ingest(Areas(rings.limit(0), 3857))
+
+
+def test_the_log_of_an_ingest(cube, caplog):
+    with caplog.at_level(logging.INFO):
+        cube.ingest(area(0, 15, 6, 20))
+        assert cube.stats() == {"name": "plain", "cells": 400, "channels": 2, "bytes": 3600, "patches": 2, "commits": 1}
+    assert "2 patches committed" in caplog.text and "400 cells" in caplog.text
+    got = sorted((r["action"], r["patch_id"]) for r in cube.event_log().collect())
+    assert got == sorted((a, p) for p in ("0-0", "0-1") for a in ("start_download_try0", "end_download_try0", "start_write", "end_write"))
+
+
 def test_time_on_a_plain_cube(cube):
     with pytest.raises(ValueError):
         cube.load(area(0, 0, 1, 1), "2020-01-01")
@@ -295,8 +332,10 @@ def test_flaky_fetches(spark, tmp_path):
 
     with pytest.raises(Exception, match="no success in 5 tries"):
         fetched(patches, never, PLAIN.cell_schema()).count()
-    log = fetched(patches, fetch, PLAIN.cell_schema(), events=True).collect()
-    assert [r["action"] for r in log] == ["start_download_try0", "end_download_try0"]
+    [os.remove(f"{state}/{f}") for f in os.listdir(state)]
+    log = spark.sparkContext.accumulator([], Events())
+    assert fetched(patches, flaky(1), PLAIN.cell_schema(), log=log).count() == 25
+    assert [e[0] for e in log.value] == ["start_download_try0", "start_download_try1", "end_download_try1"]
     assert issubclass(SourceError, Exception)
 
 
@@ -324,7 +363,7 @@ def test_items(spark, tmp_path):
     assert ids(source.search()) == ["i0", "i1", "i2", "i3"]
     assert ids(source.search(when="2020-01-05")) == ["i0", "i1"]
     assert ids(source.search(when=slice("2020-01-20", "2020-02-10"))) == ["i1", "i2"]
-    assert ids(source.search([(0.5, 0.2), (1.5, 0.2), (1.5, 0.8), (0.5, 0.8)])) == ["i0", "i1"]
+    assert ids(source.search(Area.box((0.5, 0.2, 1.5, 0.8)))) == ["i0", "i1"]
     assert ids(source.search(ids=spark.createDataFrame([("i3",), ("zz",)], "id string"))) == ["i3"]
     r = source.search().filter("patch_id = 'i0'").first()
     assert (r["x_min"], r["x_max"], len(r["geometry"]), r["item"]["dem"]) == (0.0, 1.0, 4, "file:0")

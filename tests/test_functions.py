@@ -161,3 +161,45 @@ def test_column_form_agrees_with_the_scalar_one(spark):
             except ValueError:
                 want = None
             assert r["it"] == want
+
+
+def area_of(points):
+    return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(points, [*points[1:], points[0]], strict=True)) / 2
+
+
+def star(rng, n, cx, cy, low, high):
+    """A polygon, concave as a rule, around a point."""
+    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    return [(cx + r * math.cos(a), cy + r * math.sin(a)) for a in angles for r in [rng.uniform(low, high)]]
+
+
+def inside(rings, x, y):
+    return sum((y0 > y) != (y1 > y) and x < x0 + (x1 - x0) * (y - y0) / (y1 - y0) for r in rings for (x0, y0), (x1, y1) in zip(r, [*r[1:], r[0]], strict=True)) % 2 == 1
+
+
+def test_convex_parts_cover_a_polygon(spark):
+    rng = random.Random(11)
+    for n in (3, 4, 7, 30, 200):
+        rings = [star(rng, n, 0, 0, 5, 9), star(rng, n, 0, 0, 1, 3), star(rng, n, 30, 2, 1, 5)]
+        if n < 7:  # these need not be around the point: no hole
+            rings = rings[::2]
+        parts = geom.convex_parts(rings)
+        for p in parts:  # trapezoids: two heights, and left before right at both, but for rounding
+            assert len({y for _, y in p}) == 2 and all(b[0] - a[0] > -1e-9 for a, b in zip(p, p[1:], strict=False) if a[1] == b[1] == min(y for _, y in p))
+        want = sum(abs(area_of(r)) * (-1 if len(rings) == 3 and i == 1 else 1) for i, r in enumerate(rings))
+        assert sum(abs(area_of(p)) for p in parts) == pytest.approx(want)
+        for _ in range(200):
+            x, y = rng.uniform(-10, 36), rng.uniform(-10, 10)
+            assert inside(rings, x, y) == any(inside([p], x, y) for p in parts)
+    boxes = [(i, x, y, x + rng.uniform(0.1, 4), y + rng.uniform(0.1, 4)) for i in range(300) for x, y in [(rng.uniform(-10, 36), rng.uniform(-10, 10))]]
+    df = spark.createDataFrame(boxes, "id int, a double, b double, c double, d double")
+    got = {r["id"] for r in df.filter(geom.any_meets(parts, geom.box_ring(F.col("a"), F.col("b"), F.col("c"), F.col("d")))).collect()}
+    for i, a, b, c, d in boxes:
+        if any(inside(rings, a + (c - a) * (u + 0.5) / 12, b + (d - b) * (v + 0.5) / 12) for u in range(12) for v in range(12)):
+            assert i in got
+        elif i in got:  # only a sliver: its box parts must truly overlap
+            assert any(min(p[0] for p in q) < c and max(p[0] for p in q) > a and min(p[1] for p in q) < d and max(p[1] for p in q) > b for q in parts)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    assert geom.convex_parts([square]) == [square] and geom.convex_parts([]) == []
+    table = geom.with_parts(spark.createDataFrame([([rings[0]],), (None,)], geom.PARTS.replace("array<array", "rings array<array", 1)), "rings", "parts").collect()
+    assert len(table[0]["parts"]) == len(geom.convex_parts(rings[:1])) and table[1]["parts"] is None
