@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpoint
 from .cells import clip_cast, value
 
 PIXEL = ["ix", "iy"]
@@ -70,11 +69,11 @@ def fill_gaps(cells: DataFrame, channel: str, by: list[str]) -> DataFrame:
         last = radius >= reach
         near = met.withColumn("_d2", d2).filter(F.lit(True) if last else F.col("_d2") <= radius * radius)
         best = near.groupBy(*by, "gx", "gy").agg(F.min(F.struct("_d2", "iy", "ix", "_v")).alias("_b"))
-        found = _cut(best.select(*by, F.col("gx").alias("ix"), F.col("gy").alias("iy"), F.col("_b._v").alias("_v")))
+        found = checkpoint(best.select(*by, F.col("gx").alias("ix"), F.col("gy").alias("iy"), F.col("_b._v").alias("_v")))
         done = found if done is None else done.unionByName(found)
         if last:
             break
-        left = _cut(left.join(found, keys, "left_anti"))
+        left = checkpoint(left.join(found, keys, "left_anti"))
         if left.isEmpty():
             break
         radius *= 4
@@ -92,14 +91,6 @@ def _border(valid: DataFrame, by: list[str]) -> DataFrame:
     return valid.withColumn("_lacks", lacks).filter("_lacks").drop("_lacks")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage, which doubles in each round, in the folder that the cluster names in spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cubespark-"))
-    return df.checkpoint(eager=True)
-
-
 def to_byte_bands(cells: DataFrame, channels: list[str], by: list[str]) -> DataFrame:
     """Per band: take the range, fill gaps, clip to the range from before, cast to a byte."""
     limits = F.broadcast(band_range(cells, channels))  # one row

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crs, geom, grid, toi
+from ..functions import crs, geom, grid, scratch, toi
 from ..operators import cells as ops
 from ..operators import mosaic, pruning, telemetry
 from ..sources import items as item_sources
@@ -585,12 +584,6 @@ def dataset_registry(spark, sf_dir):
 # The store, end to end
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: beside the checkpoints that the session names."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cubespark-")
-    return f"{base.rstrip('/')}/cube-{uuid.uuid4().hex}"
-
-
 SMALL = CubeDef("small", "Vectors as a cube", V.GRID, V.CHUNK, tuple(Channel(c, "float64") for c in ("A00", "A01")))
 
 
@@ -611,7 +604,7 @@ def _tile_table(spark, sf_dir):
 
 def _cube(spark, sf_dir):
     items, cells = _tile_table(spark, sf_dir)
-    cube = Cube(spark, _folder(spark), SMALL, item_sources.TableSource(items, cells, "small"))
+    cube = Cube(spark, scratch.folder(spark, "cube"), SMALL, item_sources.TableSource(items, cells, "small"))
     cube.create()
     return cube
 
@@ -669,7 +662,7 @@ def compacted_load(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """Patches that arrive as files, through a stream."""
     _, cells = _tile_table(spark, sf_dir)
-    folder = _folder(spark)
+    folder = scratch.folder(spark, "cube")
     cells.repartition(4, "patch_id").write.parquet(f"{folder}-in")
     cube = Cube(spark, folder, SMALL)
     cube.create()
@@ -698,7 +691,7 @@ def py_datasource_scan(spark, sf_dir):
 def tile_source_load(spark, sf_dir):
     """SRC-10, JOIN-6: a cube with time on the tiles of its own grid; only missing tiles and steps are fetched."""
     d = CubeDef("timed", "Numbers", V.GRID, V.CHUNK, (Channel("v", "float64"),), ("2020-01-01", "2021-01-01", "2022-01-01"))
-    cube = Cube(spark, _folder(spark), d, TileSource(sample_patch))
+    cube = Cube(spark, scratch.folder(spark, "cube"), d, TileSource(sample_patch))
     cube.create()
     cube.ingest((0.00003, 0.00085, 0.00004, 0.00086), "2021-02-01")
     out = cube.load(Area.box((3.0, 88.0, 7.0, 96.0), 3857), ["2021-03-01", "2022-01-01"], persist=False, overlaps=False)
@@ -716,7 +709,7 @@ def unit_patch(row: dict) -> pa.Table:
 
 
 def _unit_cube(spark, fetch=unit_patch):
-    cube = Cube(spark, _folder(spark), UNIT, TileSource(fetch))
+    cube = Cube(spark, scratch.folder(spark, "cube"), UNIT, TileSource(fetch))
     cube.create()
     return cube
 
@@ -828,7 +821,7 @@ def filled_steps(spark, sf_dir):
     def fetch(row: dict) -> pa.Table:
         return pa.table({"it": pa.array([row["it"]], pa.int32()), "iy": pa.array([row["row"]], pa.int32()), "ix": pa.array([row["col"]], pa.int32()), "v": [1000.0 * row["it"] + 34.0 * row["row"] + row["col"]]})
 
-    cube = Cube(spark, _folder(spark), d, TileSource(fetch))
+    cube = Cube(spark, scratch.folder(spark, "cube"), d, TileSource(fetch))
     cube.create()
     cube.ingest(Area.box((1.1, 3.1, 3.9, 3.9), 3857), "2021-01-01")
     out = cube.load(Area.box((0.1, 2.1, 4.9, 4.9), 3857), ["2020-01-01", "2021-01-01"], snapshot=cube.store.snapshot(), fill=-1, persist=False)
@@ -841,7 +834,7 @@ def stores(spark, sf_dir):
     rows = []
     for r in V.table(spark, sf_dir, "region").collect():  # five rows
         name = f"c{r['r_regionkey']}"
-        made = Cube(spark, _folder(spark), CubeDef(r["r_name"], r["r_name"], V.TILE_GRID, 1, (Channel(name, "float32", {"note": r["r_name"]}),)))
+        made = Cube(spark, scratch.folder(spark, "cube"), CubeDef(r["r_name"], r["r_name"], V.TILE_GRID, 1, (Channel(name, "float32", {"note": r["r_name"]}),)))
         before = made.created
         made.create()
         made.create(exists_ok=True)
@@ -863,7 +856,7 @@ def _error(f: Callable) -> str:
     ('no source', 'ValueError'), ('no time', 'ValueError'), ('not created', 'NotCreatedError'), ('search by a list', 'ValueError'), ('state of nothing', 'ValueError'), ('time on a plain cube', 'ValueError'), ('unequal pixels', 'ValueError')) t(what, error)""")
 def errors(spark, sf_dir):
     """FLT-14, FN-9, Q-17, Q-18, Q-24, GEO-1: what is refused, and how."""
-    cube, none = _unit_cube(spark), Cube(spark, _folder(spark), UNIT)
+    cube, none = _unit_cube(spark), Cube(spark, scratch.folder(spark, "cube"), UNIT)
     cube.store.commit(["x"], "no fragment")
     cases = {
         "another commit": lambda: cube.store.commit(["y"], "none", base=0),
@@ -926,9 +919,9 @@ def polar_search(spark, sf_dir):
     x, y = (F.round(v, 3) for v in crs.reproject(F.col("lon"), F.col("lat"), 4326, 3413))
     boxes = c.select(F.col("c_custkey").cast("string").alias("id"), (x - 500).alias("x_min"), (y - 500).alias("y_min"), (x + 500).alias("x_max"), (y + 500).alias("y_max"))
     boxes = boxes.withColumn("geometry", geom.box_ring(*[F.col(n) for n in ("x_min", "y_min", "x_max", "y_max")]))
-    path = f"{_folder(spark)}-index"
+    path = f"{scratch.folder(spark, "cube")}-index"
     source = item_sources.IndexSource(path, unit_patch, lambda i: F.concat(F.lit("https://example.org/"), i), lambda: boxes.write.parquet(path))
-    cube = Cube(spark, _folder(spark), CubeDef("polar", "Polar", grid.GridSpec(-4e6, 4e6, 1000.0, 8000, 8000, 3413), 100, (Channel("v", "float64"),)), source)
+    cube = Cube(spark, scratch.folder(spark, "cube"), CubeDef("polar", "Polar", grid.GridSpec(-4e6, 4e6, 1000.0, 8000, 8000, 3413), 100, (Channel("v", "float64"),)), source)
     cube.create()
     found = source.patches(cube, Area.box((-2e6, 1e6, -1e6, 2e6), 3413), None, None).select(F.col("patch_id").cast("long").alias("c_custkey"))
     return found.join(c, "c_custkey").select("c_custkey", (F.col("lon") > 0).alias("east"))
