@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpoint as checkpoint
+
 #: The six white-space characters of the operators' contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable copy in the folder that the cluster names in spark.checkpoint.dir.
-
-    A folder of our own is set only if the session names none, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cubespark-"))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(df: DataFrame, size: str = "4m") -> None:
     """Let rows go to Python in batches of about `size` bytes, unless the session has a limit of its own.
 

@@ -138,7 +138,7 @@ def scores(model: Model, texts: pa.Array, tables: list[np.ndarray] | None = None
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 64, decay: float = 1e-4, drop: float = 0.3, seed: int = 1) -> Model:
-    """Train on texts given as word rows. `drop`: the share of words left out at random, so that no single word is relied on."""
+    """Train on texts of a word at least, given as word rows. `drop`: the share of words left out at random, so that no single word is relied on."""
     rng = np.random.default_rng(seed)
     deep, wide = TABLES * DEPTH, FILTERS * len(WIDTHS)
     tables = [(rng.standard_normal((BUCKETS, DEPTH)) * 0.02).astype(np.float32) for _ in range(TABLES)]
@@ -273,7 +273,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, class_chars
             yield pa.record_batch({"doc_id": batch.column(0), "rows": pa.array(parts, pa.binary()), "lang": batch.column(2), "toxic": batch.column(3)})
 
     found = sorted(text.mapInArrow(hashed, "doc_id long, rows binary, lang string, toxic int").collect(), key=lambda r: (r["doc_id"], r["rows"]))
-    found = [r for i, r in enumerate(found) if not i or r["doc_id"] != found[i - 1]["doc_id"]]
+    found = [r for i, r in enumerate(found) if r["rows"] and (not i or r["doc_id"] != found[i - 1]["doc_id"])]  # a text without words teaches nothing
+    if len({r["toxic"] for r in found}) < 2:
+        return None, {}
     rows = [np.frombuffer(r["rows"], dtype=np.int32).reshape(-1, TABLES) for r in found]
     y = np.array([r["toxic"] for r in found], dtype=np.float32)
     kept = (mix64(np.array([r["doc_id"] for r in found], dtype=np.int64).view(U)) % U(5)) == 0

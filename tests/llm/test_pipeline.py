@@ -69,3 +69,53 @@ def test_thresholds_of_languages_decide(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxic, "train", lambda *_: (model, {"en": low}))
     kept = {r["doc_id"] for r in corpus_pipeline.toxicity(spark, docs, d).collect()}
     assert kept == {i for i, x in scores.items() if x < low} and len(kept) < sum(x < 0.5 for x in scores.values())
+
+
+EDGE = [
+    (1, "a text of some words that is as clean as any other text here", "en", "s1", 3),
+    (1, "a text of some words that is as clean as any other text here", "en", "s1", 3),
+    (1, "another text under the same id, which is no copy of the first one", "en", "s2", 3),
+    (2, "A text of SOME words that is as clean as any other text here", None, None, None),
+    (3, None, "en", "s1", 0),
+    (4, "", None, "s1", 0),
+    (5, " \n\t", "de", "", 3),
+    (None, "a text without an id, and of some words", "en", "s1", 3),
+    (6, "lala " * 300_000, "fr", "s1", 3),
+    (7, "漢字 é \U0001f600", "xx", "s2", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark, corpus, tmp_path_factory):
+    """Labels and test items as in the corpus, with nulls, repeated and empty rows."""
+    d = str(tmp_path_factory.mktemp("edges"))
+    spark.read.parquet(f"{corpus[0]}/labels.parquet").unionAll(spark.createDataFrame([(None, 1, 1), (1, 1, None), (1, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "a text without"), (3, "no such words anywhere at all")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_edges_of_stages(spark, edges, name, stage):
+    docs = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
+    out = stage(spark, docs, edges)
+    rows = sorted(map(str, out.collect()))
+    if name in ("toxicity", "decontamination"):
+        assert rows == sorted(map(str, docs.collect()))  # nothing there to reject
+    elif name == "near_copies":  # the rows of the first text are copies of each other, the one below another id too
+        assert rows == sorted(str(r) for i, r in enumerate(docs.collect()) if i not in (1, 3))
+    elif name == "mixing":
+        assert set(rows) == set(map(str, docs.collect())) and len(rows) >= len(EDGE)
+    else:
+        assert len(rows) == len(EDGE) and sorted({r["shard"] for r in out.collect()}) == list(range(len(EDGE)))
+    assert stage(spark, docs.limit(0), edges).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_clashing_columns_of_stages(spark, edges, name, stage):
+    docs = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
+    clashes = ["d", "r", "s", "k", "n", "fp", "copies", "_copies", "_copy", "component", "component_id", "stays", "_toxic", "n_tokens", "shard", "slot", "score", "x"]
+    more = docs.selectExpr("*", *[f"'{c}' AS {c}" for c in clashes])
+    out = stage(spark, more, edges)
+    if name != "sharding":
+        assert out.columns == more.columns and out.select([c for c in clashes if c != "x"]).distinct().count() <= 1
+    assert sorted(map(str, out.select(docs.columns if name != "sharding" else out.columns).collect())) == sorted(map(str, stage(spark, docs, edges).collect()))
