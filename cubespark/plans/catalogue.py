@@ -353,23 +353,15 @@ def item_search(spark, sf_dir):
     return pruning.at_time(out, F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-06-30").cast("timestamp_ntz")).select("id", "collection")
 
 
-@query("""SELECT c_custkey AS request, count(*) AS n, min(o_orderkey) AS first_item, max(o_orderkey) AS last_item, CAST(sum(o_orderkey) AS BIGINT) AS sum_of_items FROM
-    (SELECT o_orderkey, o_orderdate AS t0, greatest(max(l_shipdate), o_orderdate + INTERVAL 5 DAY) AS t1 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) i
+@query(f"""SELECT id AS item, c_custkey AS request FROM (SELECT id, coalesce(datetime, start_datetime) AS t0, coalesce(datetime, end_datetime) AS t1 FROM {_P}) i
     JOIN (SELECT c_custkey, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400) AS r0, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 17 % 2400 + 3) AS r1 FROM customer) r
-    ON t0 <= t1 AND t0 <= r1 AND r0 <= t1 GROUP BY c_custkey""")
+    ON t0 <= r1 AND r0 <= t1""")
 def items_by_interval(spark, sf_dir):
-    """JOIN-10: items from order date to last ship date, requests of four days; all pairs, summed up by request."""
-    pairs = _asked(spark, sf_dir, V.table(spark, sf_dir, "customer"))
-    return pairs.groupBy("request").agg(F.count("*").alias("n"), F.min("item").alias("first_item"), F.max("item").alias("last_item"), F.sum("item").alias("sum_of_items"))
-
-
-def _asked(spark, sf_dir, customers):
-    o, li = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "lineitem")
-    items = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", F.col("o_orderdate").alias("t0")).agg(F.max("l_shipdate").alias("t1"))
-    items = items.withColumn("t1", F.greatest("t1", F.col("t0") + F.expr("interval 5 days")))
+    """JOIN-10: items of an instant or ten days, and a request of four days from each customer."""
+    items = pruning.instant_or_range(V.items(spark, sf_dir), "datetime", "start_datetime", "end_datetime")
     day = lambda c: F.expr(f"timestamp_ntz '1995-01-01' + make_dt_interval(cast({c} as int))")
-    asked = customers.select("c_custkey", day("c_custkey * 17 % 2400").alias("t0"), day("c_custkey * 17 % 2400 + 3").alias("t1"))
-    return pruning.interval_join(items, asked).select(F.col("i.o_orderkey").alias("item"), F.col("r.c_custkey").alias("request"))
+    asked = V.table(spark, sf_dir, "customer").select("c_custkey", day("c_custkey * 17 % 2400").alias("t0"), day("c_custkey * 17 % 2400 + 3").alias("t1"))
+    return pruning.interval_join(items.select("id", "t0", "t1"), asked).select(F.col("i.id").alias("item"), F.col("r.c_custkey").alias("request"))
 
 
 @query(f"SELECT id, collection FROM {_P} WHERE id IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_quantity > 49)")

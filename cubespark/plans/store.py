@@ -27,7 +27,7 @@ from ..operators.cells import value, with_chunks
 from ..operators.pruning import missing
 from .definitions import TOP, CubeDef
 
-MANIFEST = "cube STRING, patch_id STRING, commit_seq BIGINT, pos INT, commit_ts TIMESTAMP, fragment STRING, message STRING, replaces BIGINT"
+MANIFEST = "cube STRING, patch_id STRING, commit_seq BIGINT, pos INT, commit_ts TIMESTAMP, fragment STRING, message STRING, replaces BIGINT, whole BOOLEAN"
 TRIES = 100
 #: Rows of pixels of a chunk that one task writes.
 ROWS = 512
@@ -124,7 +124,7 @@ class Store:
 
     def manifest(self, snapshot: int | None = None) -> DataFrame:
         """Committed patches, each with the commit that brought it; in order of (commit_seq, pos)."""
-        return self._log(snapshot).filter("replaces IS NULL").drop("replaces")
+        return self._log(snapshot).filter("replaces IS NULL").drop("replaces", "whole")
 
     def loaded_patches(self) -> list[str]:
         return [r["patch_id"] for r in self.manifest().orderBy("commit_seq", "pos").select("patch_id").collect()]
@@ -138,17 +138,17 @@ class Store:
         last = rows.agg(F.max(F.struct("replaces", "commit_seq")).alias("m")).select(F.coalesce("m.replaces", F.lit(0)).alias("_to"), F.col("m.commit_seq").alias("_by"))
         rows = rows.crossJoin(F.broadcast(last))  # one row
         keep = F.when(F.col("replaces").isNull(), F.col("commit_seq") > F.col("_to")).otherwise(F.col("commit_seq") == F.col("_by"))
-        return rows.filter(keep).select("fragment", "patch_id", F.coalesce("replaces", "commit_seq").alias("commit_seq"), "pos")
+        return rows.filter(keep).select("fragment", "patch_id", F.coalesce("replaces", "commit_seq").alias("commit_seq"), "pos", F.coalesce("whole", F.lit(False)).alias("whole"))
 
-    def commit(self, patch_ids: Iterable[str], fragment: str, message: str = "", base: int | None = None, replaces: int | None = None) -> int:
+    def commit(self, patch_ids: Iterable[str], fragment: str, message: str = "", base: int | None = None, replaces: int | None = None, whole: bool = False) -> int:
         """Make a fragment visible as the commit after `base` (default: the last). ConflictError if that exists.
 
-        `replaces`: the fragment has all that the commits up to that one have.
+        `replaces`: the fragment has all that the commits up to that one have. `whole`: it has cells of these patches alone.
         """
         seq = (self.snapshot() if base is None else base) + 1
         now = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + "Z"
         cube = self.definition().name
-        lines = [json.dumps({"cube": cube, "patch_id": p, "commit_seq": seq, "pos": i, "commit_ts": now, "fragment": fragment, "message": message, "replaces": replaces}) for i, p in enumerate(patch_ids)]
+        lines = [json.dumps({"cube": cube, "patch_id": p, "commit_seq": seq, "pos": i, "commit_ts": now, "fragment": fragment, "message": message, "replaces": replaces, "whole": whole}) for i, p in enumerate(patch_ids)]
         try:
             self._write(f"manifest/{seq:020d}.json", "\n".join(lines) + "\n", False)
         except Py4JJavaError as e:
@@ -188,10 +188,10 @@ class Store:
             new, cells = self._lacking(new, held), missing(cells, held)
         if not new:
             return []
-        fragment = self.write_fragment(cells)
+        fragment, written = self.write_fragment(cells), len(new)
         for _ in range(TRIES):
             try:
-                self.commit(new, fragment, message or f"Write {len(new)} patches", base)
+                self.commit(new, fragment, message or f"Write {len(new)} patches", base, whole=len(new) == written)
                 return new
             except ConflictError:
                 since, base = base, self.snapshot()
@@ -206,19 +206,25 @@ class Store:
         there = {r["patch_id"] for r in asked.join(held.select("patch_id"), "patch_id", "left_semi").collect()} if ids else set()
         return [p for p in ids if p not in there]
 
-    def raw(self, snapshot: int | None = None) -> DataFrame:
-        """Committed cells with commit_seq and pos, not yet overlaid, of the live fragments. Filters on chunk columns prune partitions."""
+    def raw(self, snapshot: int | None = None, ordered: bool = True) -> DataFrame:
+        """Committed cells with commit_seq and pos, not yet overlaid, of the live fragments. Filters on chunk columns prune partitions.
+
+        Without `ordered` there is no commit_seq and pos, and cells are not even joined with the manifest unless a lost race
+        left some in a fragment that are not committed.
+        """
         d = self.definition()
         files = T.StructType([T.StructField("patch_id", T.StringType()), *d.cell_schema().fields])
         parts = T.StructType.fromDDL("fragment STRING, chunk_t INT, chunk_y INT, chunk_x INT")
         live = self.live(snapshot)
-        fragments = [r["fragment"] for r in live.select("fragment").distinct().collect()]  # one a commit since the last compaction
+        fragments = {r["fragment"]: r["w"] for r in live.groupBy("fragment").agg(F.bool_and("whole").alias("w")).collect()}  # one a commit since the last compaction
         paths = [f"data/fragment={f}" for f in sorted(fragments)]
         paths = [f"{self.path}/{p}" for p in paths if self._exists(p)]
         if not paths:
             return self.spark.createDataFrame([], T.StructType([*files.fields, *parts.fields, *T.StructType.fromDDL("commit_seq BIGINT, pos INT").fields]))
         cells = self.spark.read.schema(T.StructType([*files.fields, *parts.fields])).option("basePath", f"{self.path}/data").parquet(*paths)
-        return cells.join(live, ["fragment", "patch_id"])
+        if not ordered and all(fragments.values()):
+            return cells
+        return cells.join(live.drop("whole"), ["fragment", "patch_id"])
 
     def overlaid(self, cells: DataFrame, overlaps: bool = True) -> DataFrame:
         """One row a cell: of each channel the last committed valid value. Without overlaps nothing is aggregated."""
@@ -244,7 +250,7 @@ class Store:
         fragment = self.write_fragment(cells)
         for _ in range(TRIES):
             try:
-                self.commit([COMPACTED], fragment, f"Compact commits to {pinned}", self.snapshot(), pinned)
+                self.commit([COMPACTED], fragment, f"Compact commits to {pinned}", self.snapshot(), pinned, True)
                 return fragment
             except ConflictError:
                 continue

@@ -281,6 +281,7 @@ def test_a_lost_race_is_tried_again(spark, cube, monkeypatch):
     monkeypatch.setattr(s, "write_fragment", slow)
     assert s.write_patches(spark.createDataFrame([("0-0",), ("0-1",)], "patch_id string"), cells) == ["0-1"]
     assert s.loaded_patches() == ["0-0", "0-1"] and cube.open().count() == 50
+    assert cube.load(area(0, 15, 10, 20), persist=False, overlaps=False).count() == 50
 
 
 def test_overlapping_areas_in_threads(cube):
