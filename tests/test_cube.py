@@ -63,6 +63,20 @@ def test_create(spark, tmp_path):
     assert "plain" in repr(c)
 
 
+def test_hooks_are_called(spark, tmp_path):
+    class Own(Cube):
+        def post_init(self):
+            self.called = ["init"]
+
+        def post_create(self):
+            self.called.append("create" if self.created else "too early")
+
+    c = Own(spark, str(tmp_path / "c"), PLAIN)
+    assert c.called == ["init"]
+    c.create()
+    assert c.called == ["init", "create"]
+
+
 def test_load_is_the_source_window(cube):
     out = cube.load(area(3.5, 11.2, 7.0, 13.0))
     got = {(r["iy"], r["ix"]): (r["v"], r["x"], r["y"]) for r in out.collect()}
