@@ -1,8 +1,11 @@
 import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cubespark.llm.mixing import mix, repeated
 from cubespark.llm.sharding import communication_matrix, hypergeometric, shard
@@ -80,6 +83,86 @@ def test_rows_are_repeated_as_taken(spark):
     assert repeated(docs.limit(0), mix(docs.limit(0))).count() == 0
 
 
+def odd(spark):
+    """A corpus with null and empty texts, a null source, other letters and repeated rows."""
+    more = [(900, None, "a"), (901, "", "b"), (902, "ü €\x0b€ 𝄞", None), (902, "ü €\x0b€ 𝄞", None), (None, "w w", "c"), (5, "w " * 80, "a")]
+    docs = corpus(spark, seed=3).unionAll(spark.createDataFrame(more, "doc_id long, text string, source string"))
+    return docs.unionAll(docs.filter("doc_id % 50 = 0"))
+
+
+@pytest.mark.parametrize(
+    "limits",
+    [{"repetition": 1.25}, {"repetition": 1.0}, {"repetition": 100.0, "entropy": 1.2}, {"repetition": 50.0, "budget_tokens": 3_000}, {"repetition": 3.0, "budget_tokens": 60_000}, {"repetition": 2.0, "cover": True}],
+    ids=str,
+)
+def test_mix_against_brute_force(spark, limits):
+    """Plain halving for the exponent, then each source in its random order, token by token."""
+    docs, words = odd(spark), re.compile(r"[^\x20\t-\r]+")
+    rows = [(r["doc_id"], r["source"] or "", len(words.findall(r["text"] or ""))) for r in docs.collect()]
+    out = mix(docs, **limits).withColumn("h", F.xxhash64(F.lit(9), "source", "doc_id", "n_tokens")).collect()
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"]) for r in out) == Counter(rows)
+
+    tokens, count = Counter(), Counter(s for _, s, _ in rows)
+    for _, s, n in rows:
+        tokens[s] += n
+    total = sum(tokens.values())
+
+    def at(a):
+        z = sum((t / total) ** a for t in tokens.values())
+        weight = {s: (t / total) ** a / z for s, t in tokens.items()}
+        budget = max(t / weight[s] for s, t in tokens.items()) if limits.get("cover") else limits.get("budget_tokens", total)
+        most = max(w * budget / tokens[s] for s, w in weight.items())
+        spread = -sum(w * math.log(w) for w in weight.values())
+        return weight, budget, most <= limits["repetition"] * (1 + 1e-12) and spread <= limits.get("entropy", 99)
+
+    low, high = (0.0, 0.0) if at(0.0)[2] else (0.0, 1.0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (low, middle) if at(middle)[2] else (middle, high)
+    assert [r["exponent"] for r in out] == pytest.approx([high] * len(out), abs=1e-6)
+
+    weight, budget, _ = at(out[0]["exponent"])
+    by = defaultdict(lambda: defaultdict(list))
+    for r in out:
+        assert r["weight"] == pytest.approx(weight[r["source"]])
+        block = ((r["h"] % 2**64) >> 33) * max(64, -(-count[r["source"]] // 50_000)) // 2**31
+        assert r["block"] == block
+        by[r["source"]][(block, r["h"])].append(r)
+    for s, order in by.items():
+        want = weight[s] * budget
+        passes = math.floor(want / tokens[s] + 1e-9)
+        left = want - passes * tokens[s]
+        for _, equal in sorted(order.items()):
+            left -= sum(r["n_tokens"] for r in equal)
+            assert {r["copies"] for r in equal} == {passes + (left >= 0) if equal[0]["n_tokens"] else 1}
+
+
+def test_shard_against_brute_force(spark):
+    """Each lane in its random order, cut by its row of the matrix; each shard in its random order."""
+    docs, key = odd(spark), ["doc_id", "text_crc32", "size"]
+    out = shard(docs, shards=7, seed=20)
+    hashes = [F.xxhash64(F.lit(20), *key).alias("a"), F.xxhash64(F.lit(21), *key).alias("b"), F.xxhash64(F.lit(22), *key, "shard").alias("c")]
+    rows = out.select(*key, "shard", "slot", *hashes).collect()
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    assert Counter((r["doc_id"], r["text_crc32"], r["size"]) for r in rows) == Counter((i, zlib.crc32(t), len(t) + 16) for i, t in texts)
+
+    lanes = defaultdict(list)
+    for r in rows:
+        lanes[r["a"] % 65_536 % 64].append((r["b"], *(r[k] for k in key)))
+    n = len(rows)
+    matrix = communication_matrix([len(lanes[i]) for i in range(64)], [n // 7 + (s < n % 7) for s in range(7)], 20)
+    want = Counter()
+    for lane, counts in enumerate(matrix):
+        ends = [s for s, c in enumerate(counts) for _ in range(c)]
+        want.update((*row[1:], s) for row, s in zip(sorted(lanes[lane], key=lambda x: x[0]), ends, strict=True))
+    assert Counter((*(r[k] for k in key), r["shard"]) for r in rows) == want
+    for s in range(7):
+        order = sorted((r for r in rows if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in order] == list(range(n // 7 + (s < n % 7)))
+        places = [(((r["c"] % 2**64) >> 33) * 8 // 2**31, r["c"]) for r in order]
+        assert places == sorted(places)
+
+
 def test_hypergeometric_law():
     rng, good, bad, draws, n = random.Random(5), 30, 50, 20, 20_000
     seen = Counter(hypergeometric(rng, good, bad, draws) for _ in range(n))
