@@ -81,6 +81,25 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n_words
+                             FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+        five AS (SELECT doc_id, pos, n_words, word || coalesce(' ' || lead(word, 1) OVER p, '') || coalesce(' ' || lead(word, 2) OVER p, '')
+                        || coalesce(' ' || lead(word, 3) OVER p, '') || coalesce(' ' || lead(word, 4) OVER p, '') AS shingle
+                 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+        s AS (SELECT DISTINCT doc_id, shingle FROM five WHERE pos <= greatest(n_words - 4, 1)),
+        d AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS same FROM s GROUP BY doc_id),
+        c AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY same) AS class_id FROM d),
+        m AS MATERIALIZED (SELECT s.doc_id, s.shingle, c.n FROM s JOIN c USING (doc_id) WHERE c.doc_id = c.class_id),
+        l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+              WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r AS (SELECT a AS node, a AS origin FROM l UNION SELECT l.b, r.origin FROM r JOIN l ON l.a = r.node WHERE r.origin < l.b),
+        g AS (SELECT node AS class_id, min(origin) AS component_id FROM r GROUP BY node),
+        k AS (SELECT a AS class_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT x.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(g.component_id, c.class_id, x.doc_id) AS component_id,
+               coalesce(c.class_id, x.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
+        FROM documents x LEFT JOIN c USING (doc_id) LEFT JOIN g USING (class_id) LEFT JOIN k USING (class_id)""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
