@@ -104,6 +104,37 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op7_quotation_linking": """
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn::BIGINT AS turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+        raw AS (SELECT id, conv_id, turn, unnest(lines) AS raw, generate_subscripts(lines, 1) AS pos FROM m),
+        cut AS (SELECT *, regexp_extract(raw, '^(?:[ \\t]*>)+') AS marks FROM raw),
+        v AS (SELECT id, conv_id, turn, pos, raw, (length(marks) - length(replace(marks, '>', '')))::INT AS level,
+                     trim(regexp_replace(lower(substr(raw, length(marks) + 1)), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS body FROM cut),
+        b AS (SELECT *, coalesce(lead(level) OVER w, 0) AS next_level,
+                     CASE WHEN body <> '' AND coalesce(lag(body) OVER w = '' OR lag(level) OVER w <> level, true) THEN 1 ELSE 0 END AS starts
+              FROM v WINDOW w AS (PARTITION BY id ORDER BY pos)),
+        r AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY pos) AS run FROM b),
+        p AS MATERIALIZED (SELECT id, conv_id, turn, run, min(level) AS level, string_agg(body, ' ' ORDER BY pos) AS body FROM r WHERE body <> '' GROUP BY ALL),
+        said AS (SELECT conv_id, turn, body FROM p WHERE level = 0
+                 UNION ALL SELECT conv_id, turn, string_agg(body, ' ' ORDER BY run) FROM p WHERE level = 0 GROUP BY id, conv_id, turn
+                 UNION ALL SELECT conv_id, turn, body FROM r WHERE level = 0 AND length(body) >= 8),
+        firsts AS MATERIALIZED (SELECT conv_id, body, min(turn) AS origin FROM said GROUP BY conv_id, body),
+        tries AS (SELECT conv_id, turn, run, level, body, 1 AS whole FROM p WHERE level > 0
+                  UNION ALL SELECT r.conv_id, r.turn, r.run, r.level, r.body, 0 FROM r WHERE level > 0 AND length(body) >= 8),
+        best AS (SELECT t.conv_id, t.turn, t.run, t.level, coalesce(max(f.origin) FILTER (WHERE whole = 1), max(f.origin)) AS origin
+                 FROM tries t JOIN firsts f ON t.conv_id = f.conv_id AND t.body = f.body AND f.origin < t.turn GROUP BY t.conv_id, t.turn, t.run, t.level),
+        links AS MATERIALIZED (SELECT conv_id, turn, count(*) AS n_linked, max(origin) FILTER (WHERE level = 1) AS parent_turn FROM best GROUP BY conv_id, turn),
+        up AS (SELECT conv_id, turn, parent_turn AS top, 1::BIGINT AS depth FROM links WHERE parent_turn IS NOT NULL
+               UNION ALL SELECT up.conv_id, up.turn, x.parent_turn, up.depth + 1 FROM up JOIN links x ON x.conv_id = up.conv_id AND x.turn = up.top WHERE x.parent_turn IS NOT NULL),
+        threads AS (SELECT conv_id, turn, min(top) AS top, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+        quoted AS (SELECT id, count(*) AS n_quoted, max(level) AS deepest_level FROM p WHERE level > 0 GROUP BY id),
+        own AS (SELECT id, trim(string_agg(raw, chr(10) ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM r
+                WHERE level = 0 AND NOT (next_level > 0 AND regexp_matches(raw, '^\\s*(?:On\\b.*\\bwrote|.*\\b(?:schrieb|a écrit)\\b.*|.*\\bescribió(?:[^\\pL\\pN_].*)?)\\s*:\\s*$')) GROUP BY id)
+        SELECT m.conv_id, m.turn, m.role, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, parent_turn, coalesce(deepest_level, 0) AS deepest_level,
+               coalesce(top, m.turn) AS thread_turn, coalesce(depth, 0) AS depth,
+               CASE WHEN m.turn IS NULL THEN '~' ELSE printf('%019d.%019d.%019d', coalesce(top, m.turn), coalesce(depth, 0), m.turn) END AS order_key,
+               coalesce(own.text, '') AS text
+        FROM m LEFT JOIN links USING (conv_id, turn) LEFT JOIN threads USING (conv_id, turn) LEFT JOIN quoted USING (id) LEFT JOIN own USING (id)""",
     "op10_line_dedup": f"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),

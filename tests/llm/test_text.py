@@ -6,12 +6,15 @@ import random
 import re
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cubespark.llm import decontamination as leaks
 from cubespark.llm import pii, secrets, toxicity
 from cubespark.llm.quotations import link
+from cubespark.llm.registry import ORACLE_SQL
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -397,6 +400,11 @@ def test_quotations_against_brute_force(spark):
     got = link(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")).collect()
     have = {(r["conv_id"], r["turn"]): [r["n_quoted"], r["n_linked"], r["parent_turn"], r["deepest_level"], r["thread_turn"], r["depth"]] for r in got}
     assert have == want
+    duck = duckdb.connect().register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "text"]).assign(role="u"))
+    by_sql = duck.execute(ORACLE_SQL["op7_quotation_linking"]).df()
+    both = [pd.DataFrame([r.asDict() for r in got])[list(by_sql.columns)], by_sql]
+    a, b = (x.astype({"parent_turn": float}).sort_values(["conv_id", "turn"]).astype(str).values.tolist() for x in both)
+    assert a == b
     assert sum(w[1] for w in want.values()) > 100 and max(w[5] for w in want.values()) > 2 and max(w[3] for w in want.values()) > 2
 
 
