@@ -12,7 +12,7 @@ from .mixing import mix
 from .ngram_jaccard import jaccard_components
 from .pii import pseudonymise
 from .quotations import link
-from .secrets import scan
+from .secrets import ALLOWED_WORDS, BASE, LIMITS, WINDOW, XLOGX, most_sum, scan
 from .sharding import shard
 from .toxicity import toxicity
 
@@ -80,6 +80,40 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _secrets_sql() -> str:
+    """SQL of op6_secret_scan: every window's characters are counted anew, where the operator changes counts step by step."""
+    blank = "text"
+    for word in ALLOWED_WORDS:
+        blank = f"regexp_replace({blank}, '(?i){word}', '{' ' * len(word)}', 'g')"
+    kinds = [(name, pattern.replace("'", "''"), group, least, "text") for name, pattern, group, least in BASE]
+    kinds.append(("entropy", "[A-Za-z0-9+/_=-]{20,}", 0, WINDOW, blank))
+    found = " UNION ALL ".join(
+        f"""SELECT id, {i} AS kind_order, '{name}' AS kind, {least} AS least, regexp_extract_all(x, '{pattern}') AS ms,
+                   regexp_extract_all(x, '{pattern}', {group}) AS vs, string_split_regex(x, '{pattern}') AS ps FROM (SELECT id, {text} AS x FROM t)"""
+        for i, (name, pattern, group, least, text) in enumerate(kinds)
+    )
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+        f AS ({found}),
+        u AS (SELECT id, kind_order, kind, least, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM f WHERE len(ms) > 0),
+        s AS MATERIALIZED (SELECT *, (sum(length(p) + length(m)) OVER (PARTITION BY id, kind_order ORDER BY i) - length(m))::BIGINT AS first FROM u),
+        b AS (SELECT id, kind_order, kind, first, first + length(m) AS last FROM s WHERE kind <> 'entropy' AND length(v) >= least),
+        c AS (SELECT id, i, first, m, CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {most_sum(LIMITS["hex"])} WHEN regexp_matches(m, '[0-9]') THEN {most_sum(LIMITS["base64"])}
+                                      ELSE {most_sum(LIMITS["letters"])} END AS most
+              FROM s WHERE kind = 'entropy' AND NOT regexp_full_match(m, '[0-9]+') AND replace(m, m[1], '') <> ''
+                       AND NOT regexp_full_match(m, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')),
+        w AS (SELECT id, i, first, most, k, unnest(string_split(substr(m, k + 1, {WINDOW}), '')) AS ch FROM (SELECT *, unnest(range(length(m) - {WINDOW - 1})) AS k FROM c)),
+        n AS (SELECT id, i, first, most, k, ch, count(*) AS n FROM w GROUP BY ALL),
+        h AS (SELECT id, i, first, k FROM n GROUP BY id, i, first, k, most HAVING sum({XLOGX}[n + 1]) <= most),
+        e AS (SELECT id, {len(BASE)} AS kind_order, 'entropy' AS kind, first + min(k) AS first, first + max(k) + {WINDOW} AS last FROM h GROUP BY id, i, h.first),
+        a AS (SELECT *, kind || ':' || first || ':' || last AS span FROM (SELECT * FROM b UNION ALL SELECT e.* FROM e WHERE NOT EXISTS (FROM b WHERE b.id = e.id AND b.first <= e.first AND b.last >= e.last)))
+        SELECT any_value(t.doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k[0]}') AS n_{k[0]}" for k in kinds)},
+               sha256(coalesce(string_agg(span, ',' ORDER BY first, kind_order) FILTER (WHERE kind <> 'entropy'), '')) AS base_sha256,
+               coalesce(string_agg(span, ',' ORDER BY first, kind_order), '') AS spans
+        FROM t LEFT JOIN a USING (id) GROUP BY id"""
+
+
 ORACLE_SQL = {
     "op2_ngram_jaccard": f"""
         WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n_words
@@ -104,6 +138,7 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_secret_scan": _secrets_sql(),
     "op7_quotation_linking": """
         WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn::BIGINT AS turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
         raw AS (SELECT id, conv_id, turn, unnest(lines) AS raw, generate_subscripts(lines, 1) AS pos FROM m),

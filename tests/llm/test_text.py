@@ -214,6 +214,10 @@ def test_secrets_against_brute_force(spark):
         assert ([r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"], r["spans"]) == (counts, base, spans), t
         n_entropy += spans.count("entropy")
     assert n_entropy > 30
+    duck = duckdb.connect().register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    by_sql = duck.execute(ORACLE_SQL["op6_secret_scan"])
+    columns = [c[0] for c in by_sql.description]
+    assert sorted(by_sql.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.values())
 
 
 def test_texts_with_very_many_matches(spark):
