@@ -107,6 +107,28 @@ def test_interval_join_has_each_pair_once(spark):
     assert "NestedLoop" not in plan(j)
 
 
+@pytest.mark.parametrize("unit", ["secs", "days"])
+def test_interval_join_of_equal_intervals_and_full_bins(spark, monkeypatch, unit):
+    monkeypatch.setattr(pruning, "TOGETHER", 3, raising=False)
+    rng = random.Random(5)
+    a = [(i, (d := rng.randint(-40, 40)), d + rng.randint(-1, 6)) for i in range(90)] + [(90, None, 4), (91, -2000, 2000)]
+    b = [(i, (d := rng.choice([-7, 0, 7])), d + 2) for i in range(200)] + [(200, 3, None), (201, 5, 4), (202, -39, -39)]
+    at = lambda c: F.expr(f"timestamp_ntz '1970-01-01' + make_dt_interval({'0, 0, 0, ' * (unit == 'secs')}{c})")
+    frame = lambda rows: spark.createDataFrame(rows, "id int, x int, y int").select("id", at("x").alias("t0"), at("y").alias("t1"), F.create_map("id", "x").alias("m"))
+    want = sorted((p[0], q[0]) for p in a for q in b if None not in (*p, *q) and p[1] <= p[2] and q[1] <= q[2] and p[1] <= q[2] and q[1] <= p[2])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = pruning.interval_join(frame(a), frame(b)).select("i.id", F.col("r.id").alias("other"))
+        assert sorted(map(tuple, j.collect())) == want and "NestedLoop" not in plan(j)
+        p = plan(j)
+        assert p.index("Generate explode") < p.index("Join")  # requests of one interval become pairs after the join
+        hot = pruning.interval_join(frame([(i, 0, 5) for i in range(64)]), frame([(i, 1, 2) for i in range(40)]), days=31)
+        tasks = hot.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 64 * 40 and len(tasks) > 1  # all of them in one bin
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_missing_keeps_repeated_patches(spark):
     p = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "patch_id string")
     m = spark.createDataFrame([("b",), ("b",), (None,)], "patch_id string")
