@@ -89,15 +89,31 @@ def any_meets(parts: list[Ring], r: Column) -> Column:
     return F.exists(parts_column(parts), lambda p: boxes_meet(box(p), box(r)) & convex_meet(p, r))
 
 
+def one_convex(rings: Column) -> Column:
+    """Whether a list of rings is a single convex ring, as is_convex has it. False for coordinates that are no numbers."""
+    r = F.element_at(rings, 1)
+    e = _edges(r)
+    after = F.concat(F.slice(e, 2, F.size(e) - 1), F.slice(e, 1, 1))
+    turns = F.zip_with(e, after, lambda a, b: a["dx"] * b["dy"] - a["dy"] * b["dx"])
+    around = F.size(F.filter(F.zip_with(e, after, lambda a, b: (a["dy"] > 0) != (b["dy"] > 0)), lambda x: x))
+    convex = ~F.exists(turns, lambda t: t.isNull() | F.isnan(t)) & ((F.array_min(turns) >= 0) | (F.array_max(turns) <= 0)) & (around <= 2)
+    return F.coalesce(F.when((F.size(rings) == 1) & (F.size(r) >= 3), convex), F.lit(False))
+
+
 def with_parts(df: DataFrame, rings: str, parts: str) -> DataFrame:
-    """Add the convex parts of a column of ring lists (the even-odd rule holds for all rings of a row together)."""
+    """Add the convex parts of a column of ring lists (the even-odd rule holds for all rings of a row together).
+
+    A single convex ring is its own part, which takes no Python; only other forms go there.
+    """
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             cut = [None if row is None else convex_parts([[(p["x"], p["y"]) for p in r] for r in row]) for row in batch]
             yield pd.Series([None if row is None else [[{"x": x, "y": y} for x, y in r] for r in row] for row in cut])
 
-    return df.withColumn(parts, F.pandas_udf(each, PARTS)(rings))
+    convex = one_convex(F.col(rings))
+    cut = F.pandas_udf(each, PARTS)(F.when(~convex, F.col(rings)))
+    return df.withColumn(parts, F.when(convex, F.col(rings).cast(PARTS)).otherwise(cut))
 
 
 def _edges(r: Column) -> Column:

@@ -94,8 +94,8 @@ class Areas:
         return Areas(self.table.select(F.transform(self.column, lambda r: F.transform(r, moved)).alias("rings")), epsg)
 
     def boxed(self) -> DataFrame:
-        """x_min, y_min, x_max, y_max and the convex parts of each area."""
-        rows = self.table.select(F.col(self.column).alias("rings")).filter("size(rings) > 0")
+        """x_min, y_min, x_max, y_max and the convex parts of each area; of areas that are the same, one stands for all."""
+        rows = self.table.select(F.col(self.column).alias("rings")).filter("size(rings) > 0").distinct()
         return geom.with_parts(rows.select("rings", *[c.alias(n) for n, c in geom.box(F.flatten("rings")).items()]), "rings", "parts").drop("rings")
 
     @property

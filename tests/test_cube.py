@@ -3,6 +3,7 @@
 import json
 import logging
 import os
+import random
 import threading
 
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cubespark.functions import crs
+from cubespark.functions import crs, geom
 from cubespark.functions.grid import GridSpec
 from cubespark.plans.cube import Area, Areas, Cube
 from cubespark.plans.definitions import Channel, CubeDef
@@ -155,6 +156,26 @@ def test_tables_of_areas(spark, cube):
         cube.ingest(Areas(rings.limit(0), 3857))
 
 
+def test_areas_that_repeat_are_cut_once(spark):
+    boxes = spark.range(60).selectExpr("double(id % 2) AS x_min", "0D AS y_min", "double(id % 2 + 1) AS x_max", "1D AS y_max")
+    boxed = Areas.of_boxes(boxes, 3857).boxed()
+    assert sorted((r["x_min"], r["x_max"], len(r["parts"])) for r in boxed.collect()) == [(0.0, 1.0, 1), (1.0, 2.0, 1)]
+
+
+def test_convex_rings_are_told_without_python(spark):
+    rng = random.Random(4)
+    rings = [[(float(rng.randint(0, 3)), float(rng.randint(0, 3))) for _ in range(n)] for n in (3, 4, 4, 5, 6) for _ in range(60)]
+    star = [(0.0, 3.0), (2.0, -3.0), (-3.0, 1.0), (3.0, 1.0), (-2.0, -3.0)]
+    lists = [[r] for r in [*rings, star, list(U_SHAPE)]] + [[[(0.0, 0.0), (1.0, 0.0)]], [rings[0], rings[1]], []]
+    kind = "rings array<array<struct<x:double,y:double>>>"
+    out = geom.with_parts(spark.createDataFrame([(r,) for r in lists], kind), "rings", "parts").withColumn("one", geom.one_convex(F.col("rings"))).collect()
+    points = lambda found: [[(p["x"], p["y"]) for p in r] for r in found]
+    assert len(out) == len(lists) and {r["one"] for r in out} == {True, False}
+    for row in out:
+        given = points(row["rings"])
+        assert row["one"] == (len(given) == 1 and geom.is_convex(given[0])) and points(row["parts"]) == geom.convex_parts(given)
+
+
 def test_the_log_of_an_ingest(cube, caplog):
     with caplog.at_level(logging.INFO):
         cube.ingest(area(0, 15, 6, 20))
