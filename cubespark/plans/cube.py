@@ -190,7 +190,7 @@ class Cube:
             self.ingest(aoi, when)
         window, d = self.window(aoi, buffer), self.definition
         pinned = self.store.snapshot() if snapshot is None else snapshot
-        cells = ops.crop(self.store.raw(pinned, ordered=overlaps), window, d.chunk)
+        cells = ops.crop(self.store.raw(pinned, ordered=overlaps, window=window), window, d.chunk)
         if steps is not None and when is not None:
             its = [int(i) for i in d.axis.get_indexer(steps)]
             cells = cells.filter(F.col("it").isin(its) & F.col("chunk_t").isin(its))

@@ -3,6 +3,7 @@
     <path>/catalog.json                              the definition of the cube
     <path>/manifest/<seq>.json                       one file a commit, a line a patch; the file number is the commit
     <path>/data/fragment=<id>/chunk_t=…/chunk_y=…/   cells, written once and never changed
+    <path>/data/fragment=<id>-<n>/chunk_t=…/block_y=…/block_x=…/   the same for small chunks, n by n of them to a folder
 
 A commit is the creation of the next manifest file, which fails if it exists: that is the only point of contention. What
 no manifest names does not exist for readers, and a reader that pins a commit sees no later one. A compaction says which
@@ -14,15 +15,18 @@ Spark can read.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.grid import Window, chunk_of
 from ..operators.cells import value, with_chunks
 from ..operators.pruning import missing
 from .definitions import TOP, CubeDef
@@ -31,6 +35,8 @@ MANIFEST = "cube STRING, patch_id STRING, commit_seq BIGINT, pos INT, commit_ts
 TRIES = 100
 #: Rows of pixels of a chunk that one task writes.
 ROWS = 512
+#: Pixels along the edge of what one folder holds, if chunks are smaller: a folder costs as much as some 100,000 cells.
+BLOCK = 1024
 #: What stands for the patches of a compaction in its cells.
 COMPACTED = "compacted"
 
@@ -160,16 +166,20 @@ class Store:
     # Data
 
     def write_fragment(self, cells: DataFrame) -> str:
-        """Write cells (patch_id, it, iy, ix, channels) as a new fragment, chunk by chunk. Not yet visible."""
+        """Write cells (patch_id, it, iy, ix, channels) as a new fragment, chunk by chunk or block by block. Not yet visible."""
         d, fragment = self.definition(), uuid.uuid4().hex
+        n = max(1, BLOCK // d.chunk)
         out = with_chunks(cells, d.chunk).withColumn("chunk_t", F.coalesce("it", F.lit(0)))
         for c in d.channels:
             if c.dtype in TOP:
                 fits = F.col(c.name).isNull() | F.col(c.name).between(0, TOP[c.dtype])
                 out = out.withColumn(c.name, F.when(fits, F.col(c.name)).otherwise(F.raise_error(F.lit(f"{c.name} is out of range for {c.dtype}"))))
         chunks = ["chunk_t", "chunk_y", "chunk_x"]
+        if n > 1:
+            out = out.withColumns({f"block_{c}": chunk_of(F.col(f"i{c}"), n * d.chunk) for c in "yx"})
+            chunks, fragment = ["chunk_t", "block_y", "block_x"], f"{fragment}-{n}"
         out = out.select("patch_id", "it", "iy", "ix", *[F.col(c.name).cast(c.field().dataType).alias(c.name) for c in d.channels], *chunks)
-        # A chunk is written by tasks of ROWS rows of pixels each, in row order, so that row groups can be skipped by iy.
+        # A chunk or block is written by tasks of ROWS rows of pixels each, in row order, so that row groups can be skipped by iy.
         out = out.repartition(*chunks, F.floor(F.col("iy") / ROWS)).sortWithinPartitions(*chunks, "iy", "ix")
         out.write.mode("error").partitionBy(*chunks).option("compression", "zstd").parquet(f"{self.path}/data/fragment={fragment}")
         return fragment
@@ -206,26 +216,43 @@ class Store:
         there = {r["patch_id"] for r in asked.join(held.select("patch_id"), "patch_id", "left_semi").collect()} if ids else set()
         return [p for p in ids if p not in there]
 
-    def raw(self, snapshot: int | None = None, ordered: bool = True) -> DataFrame:
+    def raw(self, snapshot: int | None = None, ordered: bool = True, window: Window | None = None) -> DataFrame:
         """Committed cells with commit_seq and pos, not yet overlaid, of the live fragments. Filters on chunk columns prune partitions.
 
+        `window`: blocks of small chunks that do not meet it are not read, which filters on chunks cannot say; cells are not cropped.
+
         Without `ordered` there is no commit_seq and pos, and cells are not even joined with the manifest unless a lost race
         left some in a fragment that are not committed.
         """
         d = self.definition()
         files = T.StructType([T.StructField("patch_id", T.StringType()), *d.cell_schema().fields])
-        parts = T.StructType.fromDDL("fragment STRING, chunk_t INT, chunk_y INT, chunk_x INT")
+        keys = T.StructType.fromDDL("fragment STRING, chunk_t INT, chunk_y INT, chunk_x INT")
         live = self.live(snapshot)
         fragments = {r["fragment"]: r["w"] for r in live.groupBy("fragment").agg(F.bool_and("whole").alias("w")).collect()}  # one a commit since the last compaction
-        paths = [f"data/fragment={f}" for f in sorted(fragments)]
-        paths = [f"{self.path}/{p}" for p in paths if self._exists(p)]
-        if not paths:
-            return self.spark.createDataFrame([], T.StructType([*files.fields, *parts.fields, *T.StructType.fromDDL("commit_seq BIGINT, pos INT").fields]))
-        cells = self.spark.read.schema(T.StructType([*files.fields, *parts.fields])).option("basePath", f"{self.path}/data").parquet(*paths)
+        kinds: dict[int, list[str]] = {}
+        for f in sorted(fragments):
+            if self._exists(f"data/fragment={f}"):
+                n = re.fullmatch(r"[0-9a-f]{32}-(\d+)", f)
+                kinds.setdefault(int(n[1]) if n else 1, []).append(f"{self.path}/data/fragment={f}")
+        if not kinds:
+            return self.spark.createDataFrame([], T.StructType([*files.fields, *keys.fields, *T.StructType.fromDDL("commit_seq BIGINT, pos INT").fields]))
+        cells = reduce(DataFrame.unionByName, [self._scan(n, paths, files, keys, window) for n, paths in sorted(kinds.items())])
         if not ordered and all(fragments.values()):
             return cells
         return cells.join(live.drop("whole"), ["fragment", "patch_id"])
 
+    def _scan(self, n: int, paths: list[str], files: T.StructType, keys: T.StructType, window: Window | None) -> DataFrame:
+        """Cells of fragments that hold n by n chunks to a folder."""
+        read, edge = self.spark.read.option("basePath", f"{self.path}/data"), self.definition().chunk
+        if n == 1:
+            return read.schema(T.StructType([*files.fields, *keys.fields])).parquet(*paths)
+        parts = T.StructType.fromDDL("fragment STRING, chunk_t INT, block_y INT, block_x INT")
+        cells = read.schema(T.StructType([*files.fields, *parts.fields])).parquet(*paths)
+        if window is not None:
+            for c, first, last in (("y", window.iy0, window.iy1 - 1), ("x", window.ix0, window.ix1 - 1)):
+                cells = cells.filter(F.col(f"block_{c}").between(first // (n * edge), last // (n * edge)))
+        return with_chunks(cells, edge).select(*files.names, *keys.names)
+
     def overlaid(self, cells: DataFrame, overlaps: bool = True) -> DataFrame:
         """One row a cell: of each channel the last committed valid value. Without overlaps nothing is aggregated."""
         d, keys = self.definition(), ["chunk_t", "chunk_y", "chunk_x", "it", "iy", "ix"]

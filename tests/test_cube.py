@@ -156,6 +156,36 @@ def test_tables_of_areas(spark, cube):
         cube.ingest(Areas(rings.limit(0), 3857))
 
 
+def test_small_chunks_share_folders(spark, tmp_path, monkeypatch):
+    from cubespark.plans import store as stores
+
+    def load(c, box):
+        files = c.store.raw(ordered=False, window=c.window(area(*box))).select(F.input_file_name()).distinct().collect()
+        return sorted((r["iy"], r["ix"], r["v"]) for r in c.load(area(*box), persist=False).collect()), {"/".join(r[0].split("/")[-3:-1]) for r in files}
+
+    def folders(c):
+        return {at for at, _, files in os.walk(f"{c.store.path}/data") if any(f.endswith(".parquet") for f in files)}
+
+    cube = Cube(spark, str(tmp_path / "one"), PLAIN, TileSource(fetch))
+    cube.create()
+    cube.ingest(area(0, 0, 20, 20))
+    assert len(folders(cube)) == 1 and len(load(cube, (0, 0, 20, 20))[0]) == 400
+    # Fragments of several layouts in one store; what a window does not meet is not read.
+    cube = Cube(spark, str(tmp_path / "all"), PLAIN, TileSource(fetch))
+    cube.create()
+    for edge, box in ((1, (0, 0, 20, 4)), (10, (0, 6, 20, 20)), (1024, (0, 0, 20, 20))):
+        monkeypatch.setattr(stores, "BLOCK", edge, raising=False)
+        cube.ingest(area(*box))
+    assert len(cube.store.manifest().collect()) == 16
+    for box in ((0, 0, 20, 20), (2, 3, 9, 18), (11, 11, 19, 19)):
+        want = sorted((iy, ix, 100.0 * iy + ix) for iy in range(20 - box[3], 20 - box[1]) for ix in range(box[0], box[2]))
+        got, read = load(cube, box)
+        assert got == want
+    assert "block_y=0/block_x=1" in read and "block_y=1/block_x=0" not in read  # of the second layout, 10 pixels a folder
+    cube.store.compact()
+    assert load(cube, (0, 0, 20, 20))[0] == sorted((iy, ix, 100.0 * iy + ix) for iy in range(20) for ix in range(20))
+
+
 def test_areas_that_repeat_are_cut_once(spark):
     boxes = spark.range(60).selectExpr("double(id % 2) AS x_min", "0D AS y_min", "double(id % 2 + 1) AS x_max", "1D AS y_max")
     boxed = Areas.of_boxes(boxes, 3857).boxed()
